@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import mixing, pagespam, tokens
+from codelake.llm import mixing, pagespam, sourcefiles, tokens
 from codelake.session import cut, table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcefiles.invalid_files(table(spark, sf_dir, "files")).select("repo_name", "file_path")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "files")
+    return sourcefiles.failure_rates(files, sourcefiles.invalid_files(files), table(spark, sf_dir, "jobs"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -39,5 +48,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagespam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
