@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import mixing, pagespam, sourcefiles, tokens
+from codelake.llm import handwritten, mixing, pagespam, sourcefiles, tokens
 from codelake.session import cut, table
 
 
@@ -18,6 +18,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sourcefiles.failure_rates(files, sourcefiles.invalid_files(files), table(spark, sf_dir, "jobs"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_reasons(spark, sf_dir).select("repo_name", "file_path")
+
+
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.unwritten_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "dependencies"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -48,5 +56,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagespam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}

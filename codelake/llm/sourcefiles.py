@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.lexing import Lexer
-from codelake.llm.parsing import Tables, read_grammar
+from codelake.llm.parsing import NEWLINE, Tables, read_grammar
 from codelake.llm.tasks import per_slice, spread
 
 # Extensions of the languages, `.h` being C.
@@ -41,13 +41,15 @@ class Parsers:
         self.grammars, self.ready = grammars, {}
 
     def first_error(self, language: str, text: str) -> int | None:
-        """None for a text of the language, else the share of its tokens, in per mille, before the first that cannot stand there."""
+        """None for a text of the language or one without tokens, else the share of its tokens, in per mille, before the first that cannot stand there."""
         tables, lexer = self.ready.get(language, (None, None))
         if tables is None or len(tables.moves) > MOST_STATES:
             tables = Tables(self.grammars[language])
             lexer = Lexer(language, tables, self.grammars[language])
             self.ready[language] = tables, lexer
         tokens = lexer(text)
+        if not tokens.strip(NEWLINE):  # nothing but comments
+            return None
         at = tables.accepts(tokens)
         return None if at < 0 else 1000 * at // max(1, len(tokens))
 
