@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import handwritten, mixing, pagespam, sourcefiles, tokens
+from codelake.llm import handwritten, mixing, pagespam, sourcefiles, splitting, tokens
 from codelake.session import cut, table
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_ids(p2_pieces(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sourcefiles.invalid_files(table(spark, sf_dir, "files")).select("repo_name", "file_path")
 
@@ -56,5 +64,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagespam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found}
+ORACLE = {
+    "p2_found": """select distinct repo_name, id from chunks c left join split_limits l on l.chunk_type = c.chunk_type
+      left join split_limits o on o.chunk_type = '*' where length(content) > coalesce(l.max_chars, o.max_chars)""",
+}
