@@ -51,7 +51,7 @@ NO_CALLS = frozenset("if for while switch catch return function func fn def clas
 
 _STRINGS = r'"(?:[^"\\\n]|\\[\s\S])*"|`(?:[^`\\]|\\[\s\S])*`|/\*[\s\S]*?(?:\*/|\Z)|//[^\n]*'
 _QUOTED = r"'(?:[^'\\\n]|\\[\s\S])*'"
-_PATTERN = r"(?:(?<=[(,=:\[!&|?{};])|(?<=[(,=:\[!&|?{};] ))/(?![*/\s=])(?:[^\\/\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_PATTERN = r"(?:(?<=[(,=:\[!&|?{};])|(?<=[(,=:\[!&|?{};] )|(?<=return ))/(?![*/\s=])(?:[^\\/\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 #: Strings and comments, and the regular expressions of JavaScript; a lone quote is no string where it marks a lifetime.
 _NOISE = {
     "python": re.compile(r'"""[\s\S]*?(?:"""|\Z)|' + r"'''[\s\S]*?(?:'''|\Z)|" + r'"(?:[^"\\\n]|\\[\s\S])*"|' + _QUOTED + r"|#[^\n]*"),
