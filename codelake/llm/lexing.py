@@ -111,8 +111,8 @@ PATTERNS = {
 PATTERNS["cpp"] = PATTERNS["c"]
 
 
-IN_TYPE_LISTS = "<IDENT> <MEMBER> <STRING> <NUMBER> <TYPES> <LIFETIME> <SIGN> <AT> <PRIM> , . :: ? & && | * : = ! extends super const => -> keyof typeof mut dyn impl in out typename class readonly null void ref struct enum this unsigned signed".split()
-BEFORE_TYPE_LISTS = "<IDENT> <MEMBER> <PRIM> :: fn template impl for new . public private protected static final abstract operator".split()
+IN_TYPE_LISTS = "<IDENT> <MEMBER> <STRING> <NUMBER> <TYPES> <LIFETIME> <SIGN> <AT> <PRIM> , . :: ? & && | * : = ! extends super const => -> keyof typeof mut dyn impl in out typename class readonly null void ref struct enum this unsigned signed as".split()
+BEFORE_TYPE_LISTS = "<MOD> = ( , return => ; { <IDENT> <MEMBER> <PRIM> :: fn template impl for new . public private protected static final abstract operator".split()
 
 
 def typed_lists(tokens: str, tables: Tables) -> str:

@@ -31,8 +31,8 @@ GREATER_PART = 0.5
 # Function words of the languages that readers of this corpus write.
 FUNCTION_WORDS = frozenset(
     """
-    a an and are as at be but by can each every for from has have if in into is it its just more most not of on only or our
-    so still than that the then this to was we were when which who with you your
+    a after all an and any are as at be been but by can did do does each every for from had has have he her his if in into is it its just more most not of on only or our
+    she should so some still than that the their them then there these they this those to was we were when which who will with would you your
     als am an auch auf aus bei bitte das dem den der des die dieser ein eine einem einen einer es für hat haben ihr im in ist
     jeden jeder jetzt kann mehr mit nach nicht noch nur oder schon seit sich sie sind so über um und unser von vor war was weil wenn
     werden wie wir wird zu zum zur
@@ -104,9 +104,10 @@ def junk_share(text: str) -> float:
             elif own and not RECORD.search(unit):
                 content = [w for w in own if w not in FUNCTION_WORDS]
                 covered = sum(w in repeated for w in own) / len(own)
+                plain = PLAIN.match(unit)
                 sentence = function >= 1 and len(own) >= 5 and unit.endswith((".", "!", "?"))
-                listed = not sentence and function <= max(1, 0.15 * len(own)) and covered >= 0.4 and PLAIN.match(unit)
-                stuffed = covered >= 0.45 and len(set(content)) <= 0.75 * len(content)
+                listed = not sentence and function <= max(1, 0.15 * len(own)) and covered >= 0.4 and plain
+                stuffed = covered >= 0.45 and len(set(content)) <= 0.75 * len(content) and plain
                 if listed or stuffed:
                     junk += size
     return junk / total if total else 0.0

@@ -80,13 +80,13 @@ def pause(lines: list[str], gap: int) -> float:
 
 def long_line(line: str, limit: int) -> list[str]:
     """A line in parts within the limit, cut behind the last blank or bracket of the second half where there is one."""
-    parts = []
-    while len(line) > limit:
-        cuts = [m.end() for m in BREAK.finditer(line, limit // 2, limit)]
-        cut = cuts[-1] if cuts else limit
-        parts.append(line[:cut])
-        line = line[cut:]
-    return [*parts, line] if line else parts
+    parts, at = [], 0
+    while len(line) - at > limit:
+        cuts = [m.end() for m in BREAK.finditer(line, at + limit // 2, at + limit)]
+        cut = cuts[-1] if cuts else at + limit
+        parts.append(line[at:cut])
+        at = cut
+    return [*parts, line[at:]]
 
 
 def split(text: str, limit: int, overlap: int, first_line: int = 1) -> list[tuple[int, int, str]]:
