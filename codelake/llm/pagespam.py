@@ -58,6 +58,7 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 PRICE = re.compile(r"\d+[.,]\d\d\b")
 #: Signs of a line that records something: times, code, versions, numbers of issues, anchors of a contents page.
 RECORD = re.compile(r"\d\d:\d\d|`|_|\(\)|==|[<>~]=|\d+\.\d+\.\d|[{}();]\s*$|#\d|\]\(#")
+CODE = re.compile(r"[()\[\]{}=\"`]")
 PLAIN = re.compile(r"[\w\s,;•/|:.!?¿¡'’»«>=·-]*\Z")
 
 
@@ -104,10 +105,9 @@ def junk_share(text: str) -> float:
             elif own and not RECORD.search(unit):
                 content = [w for w in own if w not in FUNCTION_WORDS]
                 covered = sum(w in repeated for w in own) / len(own)
-                plain = PLAIN.match(unit)
                 sentence = function >= 1 and len(own) >= 5 and unit.endswith((".", "!", "?"))
-                listed = not sentence and function <= max(1, 0.15 * len(own)) and covered >= 0.4 and plain
-                stuffed = covered >= 0.45 and len(set(content)) <= 0.75 * len(content) and plain
+                listed = not sentence and function <= max(1, 0.15 * len(own)) and covered >= 0.4 and PLAIN.match(unit)
+                stuffed = covered >= 0.45 and len(set(content)) <= 0.75 * len(content) and len(CODE.findall(unit)) <= 0.03 * len(unit)
                 if listed or stuffed:
                     junk += size
     return junk / total if total else 0.0
