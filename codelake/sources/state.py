@@ -22,13 +22,18 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Writes beside the old table and then takes its place, so the plan may read the old one."""
-    spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    system, where = _fs(spark, path)
-    system.delete(where, True)
-    system.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), where)
+def replace(*tables: tuple[DataFrame, str]) -> None:
+    """Writes every table beside its old one and only then puts all in their places: plans may read the old ones, a failure changes none."""
+    staged = []
+    for df, path in tables:
+        fresh = f"{path}.{uuid.uuid4().hex}"
+        df.write.parquet(fresh)
+        staged.append((df.sparkSession, fresh, path))
+    for spark, fresh, path in staged:
+        system, where = _fs(spark, path)
+        system.delete(where, True)
+        system.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), where)
+        spark.catalog.refreshByPath(path)
 
 
 def clear(spark: SparkSession, path: str) -> None:

@@ -153,8 +153,8 @@ def test_manifests(spark, tmp_path):
 def test_state_survives_reading_itself(spark, tmp_path):
     path = str(tmp_path / "s")
     assert state.read(spark, path, "a int").count() == 0
-    state.replace(spark.range(3).selectExpr("cast(id as int) a"), path)
-    state.replace(state.read(spark, path, "a int").where("a > 0"), path)
+    state.replace((spark.range(3).selectExpr("cast(id as int) a"), path))
+    state.replace((state.read(spark, path, "a int").where("a > 0"), path))
     assert sorted(r.a for r in state.read(spark, path, "a int").collect()) == [1, 2]
     state.clear(spark, path)
     assert not state.exists(spark, path)
