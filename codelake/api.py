@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from codelake.config import EngineConfig
+from codelake.functions import paths
 from codelake.operators import chunking, embedding, incremental, jobs, knowledge, vectors
 from codelake.operators import graph as G
 from codelake.operators.hierarchy import hierarchy
 from codelake.sources import manifests, srctree, state
+from codelake.streaming import changes
 
 FILES = "repo_name string, file_path string, language string, size_bytes bigint, content_hash string"
 CHUNKS = (
@@ -40,6 +43,7 @@ class Index:
         self.spark, self.config = spark, config
         self.embedder = embedder or embedding.hashing_embedder()
         self.registry = jobs.Registry(spark)
+        self.watchers: dict[str, StreamingQuery] = {}
 
     def path(self, name: str) -> str:
         return f"{self.config.warehouse}/{name}"
@@ -112,6 +116,17 @@ class Index:
 
         return apply
 
+    def watch(self, root: str, repo_name: str, checkpoint: str) -> StreamingQuery:
+        """Follows the changes of a tree and applies them; the stream's own methods stop it and tell its state."""
+        self.spark.dataSource.register(srctree.SourceTree)
+        stream = self.spark.readStream.format("srctree").option("changes", "true").load(root).where(paths.watched(F.col("file_path")))
+        every = f"{self.config.debounce_seconds} seconds"
+        self.watchers[repo_name] = changes.apply_changes(stream, self.apply_changes(root, repo_name), checkpoint, processingTime=every)
+        return self.watchers[repo_name]
+
+    def watcher_status(self) -> dict:
+        return {name: {"running": q.isActive, "message": q.status["message"]} for name, q in self.watchers.items()}
+
     def clear(self, dependencies: bool = False) -> dict:
         for name in ("files", "chunks", "edges", "cache", *(["dependencies"] if dependencies else [])):
             state.clear(self.spark, self.path(name))
@@ -164,7 +179,7 @@ class Index:
         n_linked = old.count()
         state.replace((linked.unionByName(new.select(linked.columns)), self.path("dependencies")))
         for name, folder in folders:
-            self.index_repository(os.path.join(workspace, folder), f"dependency:{name}")
+            self.index_repository(os.path.join(workspace, folder), f"dependency:{name}", exclude=tuple(f"{x}/**" for x in paths.DEPENDENCY_SKIPPED))
         return {"requested": len(names), "linked": n_linked, "indexed": len(folders)}
 
     def list_dependencies(self) -> DataFrame:
@@ -204,8 +219,15 @@ class Index:
         """Every class with its root, depth, path and descendant interval."""
         return hierarchy(self.table("edges").where("type = 'EXTENDS'").groupBy(F.col("src").alias("child")).agg(F.min("dst").alias("parent")))
 
-    def circular_dependencies(self, kind: str = "IMPORTS", max_length: int = 8) -> DataFrame:
-        return G.cycles(self.table("edges").where(F.col("type") == kind), max_length)
+    def circular_dependencies(self, repo_name: str | None = None, max_length: int = 8) -> DataFrame:
+        """Files of a repository that import each other in a circle."""
+        rows = self.table("edges").where("type = 'IMPORTS'")
+        rows = rows if repo_name is None else rows.where(F.col("repo_name") == repo_name)
+        files = self.table("files")
+        language = paths.language(F.col("file_path")).alias("language")
+        imported = rows.select("repo_name", "file_path", language, F.substring("dst", len(G.EXTERNAL) + 1, 1 << 20).alias("module"))
+        key = lambda c: F.concat(F.lit("file:"), "repo_name", F.lit(":"), c)
+        return G.cycles(chunking.file_imports(imported, files).select(key("file_path").alias("src"), key("target_path").alias("dst")), max_length)
 
     def graph_statistics(self, repo_name: str | None = None) -> DataFrame:
         edges = self.table("edges") if repo_name is None else self.table("edges").where(F.col("repo_name") == repo_name)

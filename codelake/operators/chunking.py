@@ -247,6 +247,38 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.withColumn("is_relative", F.col("module").startswith("."))
 
 
+def register(language: str, definitions: list[tuple[str, str]], imports_pattern: str | None = None) -> None:
+    """Adds or replaces what a language's definitions (type and pattern, group 1 the name) and imports look like."""
+    DEFINITIONS[language] = definitions
+    _HEADS[language] = re.compile("|".join(f"(?P<d{n}>^[ \\t]*{p})" for n, (_, p) in enumerate(definitions)), re.MULTILINE)
+    if imports_pattern is not None:
+        IMPORTS[language] = imports_pattern
+
+
+# What may stand behind an imported path for it to be a file.
+SUFFIXES = (".py", "/__init__.py", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", "/index.js", "/index.ts", ".h", ".hpp", "")
+
+
+def file_imports(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_name, file_path, target_path): imports that name a file of their own repository.
+
+    Dotted modules are read as folders, both from the top and from the importing file's folder; ``./`` and ``../`` are
+    taken off against that folder. Several files may answer one import; imports of other things drop out.
+    """
+    folder = F.regexp_extract("file_path", r"^(.*/)?[^/]*$", 1)
+    parent = F.regexp_replace(folder, r"[^/]+/$", "")
+    dotted = F.translate("module", ".", "/")
+    written = (
+        F.when(F.col("module").startswith("../"), F.array(F.concat(parent, F.substring("module", 4, 1 << 20))))
+        .when(F.col("module").startswith("./"), F.array(F.concat(folder, F.substring("module", 3, 1 << 20))))
+        .when(F.col("language") == "python", F.array(dotted, F.concat(folder, F.ltrim(dotted, F.lit("/")))))
+        .otherwise(F.array(F.col("module"), F.concat(folder, F.col("module"))))
+    )
+    guesses = found.select("repo_name", "file_path", F.explode(written).alias("base")).select("repo_name", "file_path", F.explode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda x: F.concat("base", x))).alias("target_path"))
+    there = files.select("repo_name", F.col("file_path").alias("target_path")).distinct()
+    return guesses.join(there, ["repo_name", "target_path"], "left_semi").where("target_path != file_path").select("repo_name", "file_path", "target_path").distinct()
+
+
 def enclosing(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows (rel_id, repo_name, source_file, line_number) with the smallest chunk of their file around their line; others drop out.
 

@@ -75,13 +75,14 @@ class Registry:
 
 
 def status(jobs: DataFrame) -> DataFrame:
-    """Status rows: progress in percent, run time in seconds (null unless started and ended), distinct failed files."""
-    failed = F.coalesce("progress.failed_files", F.array().cast("array<string>"))
+    """Status rows: progress in percent, run time in seconds (null unless started and ended), distinct failed files and the first five."""
+    failed = F.array_distinct(F.filter(F.coalesce("progress.failed_files", F.array().cast("array<string>")), lambda x: x.isNotNull()))
     return jobs.dropDuplicates(["job_id"]).select(
         "job_id", "repo_name", "status",
         percent(F.col("progress.current_file"), F.col("progress.total_files")).alias("percent_done"),
         F.format_string("%.2f%%", F.coalesce("progress.cache_hit_rate", F.lit(0.0))).alias("cache_hit_rate"),
         seconds_between(F.col("started_at"), F.col("completed_at")).alias("seconds"),
-        F.size(F.array_distinct(failed)).alias("n_failed"),
+        F.size(failed).alias("n_failed"),
+        F.array_join(F.slice(F.array_sort(failed), 1, 5), ", ").alias("first_failed"),
         F.col("status").isin("queued", "running").alias("can_cancel"),
     )

@@ -54,3 +54,8 @@ def look_up(requests: DataFrame, dependencies: DataFrame) -> DataFrame:
     both = named.unionByName(slugs).where("key is not null")
     best = both.groupBy("key").agg(F.min_by(F.struct("category", "name", "version", "dependency_path"), F.struct("rank", "name", "version", "dependency_path")).alias("entry"))
     return requests.select(F.lower(stripped("name")).alias("key")).distinct().join(best, "key").select("key", "entry.*")
+
+
+def without(dependencies: DataFrame, name: str) -> DataFrame:
+    """The table without any version of a dependency."""
+    return dependencies.where(~F.lower(stripped("name")).eqNullSafe(name.lower()))

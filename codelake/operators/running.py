@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same keys that come earlier.
 
-    ``bucket`` must not decrease along ``order``. A hot group is spread over its buckets: their sums are taken with
+    Rows are ordered by ``bucket`` first and ``order`` within it. A hot group is spread over its buckets: their sums are taken with
     map-side combine, only these few sums run through a window of the whole key, and the rows run through windows of
     one bucket each. Nulls in value count as 0. Rows with equal order within a key are undefined among themselves, so
     ``order`` should end in a unique column.

@@ -133,6 +133,19 @@ def q_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.imports(_files(spark, sf_dir))
 
 
+def q_file_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of one file of a repository by another."""
+    files = _files(spark, sf_dir)
+    return chunking.file_imports(chunking.imports(files), files)
+
+
+def q_file_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that import each other in a circle."""
+    key = lambda c: F.concat_ws(":", "repo_name", c)
+    found = G.cycles(q_file_imports(spark, sf_dir).select(key("file_path").alias("src"), key("target_path").alias("dst")), 6)
+    return found.select(F.array_join("cycle", " > ").alias("cycle"), "length")
+
+
 def q_extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls found in the chunks' own texts, resolved within their files; counts per repository."""
     chunks = _chunks(spark, sf_dir).dropDuplicates(["repo_name", "id"])
@@ -231,7 +244,7 @@ def q_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = """q_language_detect q_path_excludes q_indexable_files q_incremental_diff q_removed_files q_hit_rate q_cache_join q_embed_chunks q_index_stats q_get_symbols
-q_symbol_types q_search_text_filter q_range_containment q_resolve_first_match q_resolve_bases q_method_parents q_chunk_ids q_header_extract q_imports q_extract_calls
+q_symbol_types q_search_text_filter q_range_containment q_resolve_first_match q_resolve_bases q_method_parents q_chunk_ids q_header_extract q_imports q_file_imports q_file_cycles q_extract_calls
 q_extract_bases q_chunk_source q_chunk_lines q_framework_case q_list_dependencies q_dep_condensed q_dep_summary_rollup q_link_workspace q_dependency_exists_semi
 q_dependency_lookup q_json_props q_job_status q_union_nodes q_intersect_ids q_except_ids q_rank_frames q_cube_chunks q_approx_distinct""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
@@ -336,7 +349,8 @@ ORACLE = {
     "q_job_status": """with j as (select distinct on (job_id) * from jobs)
       select job_id, repo_name, status, coalesce(round(progress.current_file::double / nullif(progress.total_files, 0) * 100, 2), 0.0) as percent_done,
       printf('%.2f%%', coalesce(progress.cache_hit_rate, 0.0)) as cache_hit_rate, (epoch_us(completed_at) - epoch_us(started_at)) / 1000000.0::double as seconds,
-      len(list_distinct(coalesce(progress.failed_files, [])))::int as n_failed, status in ('queued', 'running') as can_cancel from j""",
+      len(list_distinct(coalesce(progress.failed_files, [])))::int as n_failed,
+      array_to_string(list_sort(list_distinct(coalesce(progress.failed_files, [])))[1:5], ', ') as first_failed, status in ('queued', 'running') as can_cancel from j""",
     "q_union_nodes": f"""with {graph_queries._E}, {graph_queries._N}, x as (select distinct dst, type from e where is_external and type is not null),
       l as (select dst, case min(case when type = 'IMPORTS' then 0 when type in ('EXTENDS', 'IMPLEMENTS') then 1 else 2 end) when 0 then 'Module' when 1 then 'Class' else 'Function' end as label from x group by 1)
       select label, 'code' as source, count(*) as n from n where not coalesce(is_external, false) group by 1 union all select label, 'external', count(*) from l group by 1""",

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 
@@ -52,7 +53,7 @@ def test_tools(index):
     assert {r.id for r in own.class_hierarchy(ids["Child"], "up").collect()} == {"external_Base"}
     assert own.find_usages("load_rows").count() == 1
     assert {(r.dst, r.is_external) for r in own.find_dependencies(ids["main"]).collect()} == {(ids["start"], False)}
-    assert own.circular_dependencies("CALLS").count() == 1
+    assert own.circular_dependencies("r").count() == 0
     assert own.query_graph("select type, count(*) n from edges group by type").count() == 3
     assert own.indexing_status().first().chunks == 5
     assert own.health()["chunks"] and not own.health()["dependencies"]
@@ -73,6 +74,22 @@ def test_dependencies(index, tmp_path):
     assert {r.name for r in own.table("chunks").where("repo_name = 'dependency:left'").collect()} == {"pad"}
 
 
+def test_circular_imports_and_watching(index, spark, tmp_path):
+    own, root = index
+    put(root, "pkg/x.py", "from pkg import y\nimport pkg.y\n")
+    put(root, "pkg/y.py", "from .x import z\n")
+    query = own.watch(root, "r", str(tmp_path / "watch"))
+    try:
+        for _ in range(300):
+            if own.table("files").where("file_path like 'pkg/%'").count() == 2:
+                break
+            time.sleep(0.2)
+        assert own.watcher_status()["r"]["running"]
+    finally:
+        query.stop()
+    assert [r.cycle for r in own.circular_dependencies("r").collect()] == [["file:r:pkg/x.py", "file:r:pkg/y.py"]]
+
+
 def test_background_job(index):
     own, root = index
     job_id = own.submit(root, "again")
@@ -80,8 +97,6 @@ def test_background_job(index):
         row = own.job_status(job_id).first()
         if row.status in ("completed", "failed"):
             break
-        import time
-
         time.sleep(0.1)
     assert row.status == "completed"
     assert not own.cancel_job(job_id)["cancelled"]
