@@ -19,11 +19,13 @@ MODEL = "hashing-64"
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "files").distinct()
+    """Each file once: repeated rows are exact, so their key tells them and unused columns are never read."""
+    return table(spark, sf_dir, "files").dropDuplicates(["repo_name", "file_path"])
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").distinct()
+    """Each life of a chunk once, by its key as above."""
+    return table(spark, sf_dir, "chunks").dropDuplicates(["repo_name", "id", "indexed_at"])
 
 
 def q_language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +123,7 @@ def q_method_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = text.chunk_id(F.col("file_path"), F.col("start_line"), F.col("content"))
-    rows = table(spark, sf_dir, "chunks").select("repo_name", "id", "file_path", "start_line", "content").distinct()
+    rows = table(spark, sf_dir, "chunks").dropDuplicates(["repo_name", "id"])
     return rows.select("repo_name", "id", made.alias("made_id"), text.point_uuid(made).alias("point"), text.cache_key(MODEL, F.col("content")).alias("cache_key"), F.length(text.embedder_text(F.col("content"), 4915)).alias("n_embedded"))
 
 
