@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codelake.llm.parsing import read_grammar
 from codelake.llm.sourcefiles import EXTENSIONS, language_of
-from codelake.llm.tasks import per_slice, spread
+from codelake.llm.tasks import Totals, per_slice, spread, tally
 
 #: Bits per character above a language's own entropy from which a name is mangled, and share of mangled uses of a minified file.
 MANGLED_BITS, MANGLED_SHARE = 1.0, 0.5
@@ -30,6 +31,8 @@ LEAST_USES = 40
 DIVERSITY, LEAST_NAMES = 0.3, 8
 #: A data file has at most so many names, at least this share of its code in literals, and so many characters of code.
 DATA_NAMES, DATA_SHARE, DATA_SIZE = 6, 0.5, 300
+#: Names whose trigrams a worker remembers.
+REMEMBERED = 100_000
 #: Package names that are gathered at the driver, and lines in which a banner is looked for.
 MOST_PACKAGES, BANNER_LINES = 100_000, 40
 
@@ -82,10 +85,11 @@ def names_in(tokens: Counter, reserved: frozenset[str]) -> Counter:
     return names
 
 
-def grams(name: str) -> list[str]:
+@lru_cache(REMEMBERED)
+def grams(name: str) -> tuple[str, ...]:
     """Character trigrams of a name between its ends, over a fixed alphabet of 40 signs."""
     padded = "^^" + GRAM.sub("?", name.lower()) + "$"
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+    return tuple(padded[i : i + 3] for i in range(len(padded) - 2))
 
 
 def name_grams(files: DataFrame) -> DataFrame:
@@ -93,19 +97,16 @@ def name_grams(files: DataFrame) -> DataFrame:
     reserved = {language: keywords(language) for language in EXTENSIONS}
 
     def work():
-        def apply(batch: pa.RecordBatch) -> pa.Table:
-            counts: defaultdict[str, Counter] = defaultdict(Counter)
+        def add(batch: pa.RecordBatch, counts: Totals) -> None:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = counts[language]
                 for name in names_in(tokens_of(language, text), reserved[language]):
-                    counts[language].update(grams(name))
-            rows = [(language, gram, n) for language, own in counts.items() for gram, n in own.items()]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["language", "gram", "n"])
+                    own.update(grams(name))
 
-        return apply
+        return add
 
     source = files.select(language_of("file_path").alias("language"), "content").where("language is not null and content != ''")
-    return per_slice(spread(source), work, "language string, gram string, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    return tally(spread(source), work, "language string, gram string, n bigint", 1).groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
 class NameModel:
