@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,10 +147,10 @@ class Index:
         return chunking.symbols(self.table("chunks").where(F.col("file_path") == file_path), symbol_type).orderBy("start_line")
 
     def indexing_status(self) -> DataFrame:
-        files = self.table("files").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
-        chunks = self.table("chunks").agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
-        cache = self.table("cache").agg(F.count("*").alias("cached"))
-        return files.join(chunks).join(cache)  # one row each
+        """(measure, value): files and their bytes, chunks and their vectors, cached embeddings."""
+        counts = [("files", "files", F.count("*")), ("bytes", "files", F.coalesce(F.sum("size_bytes"), F.lit(0))), ("chunks", "chunks", F.count("*")), ("vectors", "chunks", F.count("embedding")), ("cached", "cache", F.count("*"))]
+        rows = [self.table(name).agg(value.cast("bigint").alias("value")).select(F.lit(measure).alias("measure"), "value") for measure, name, value in counts]
+        return reduce(DataFrame.unionByName, rows)
 
     def health(self) -> dict:
         return {name: state.exists(self.spark, self.path(name)) for name in ("files", "chunks", "edges", "cache", "dependencies")} | {"spark": self.spark.sql("select 1").first()[0] == 1}

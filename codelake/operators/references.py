@@ -63,7 +63,7 @@ def existence_deltas(existing: DataFrame) -> DataFrame:
     )
 
 
-def orphan_references(references: DataFrame, existing: DataFrame, period: str = "day") -> DataFrame:
+def orphan_references(references: DataFrame, existing: DataFrame, period: str = "hour") -> DataFrame:
     """The distinct (table_name, row_id, t) of references whose key does not exist at the reference's time.
 
     A start at the reference's instant counts as there, an end at that instant as gone. A reference without a time finds

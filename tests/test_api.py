@@ -55,7 +55,7 @@ def test_tools(index):
     assert {(r.dst, r.is_external) for r in own.find_dependencies(ids["main"]).collect()} == {(ids["start"], False)}
     assert own.circular_dependencies("r").count() == 0
     assert own.query_graph("select type, count(*) n from edges group by type").count() == 3
-    assert own.indexing_status().first().chunks == 5
+    assert {r.measure: r.value for r in own.indexing_status().collect()}["chunks"] == 5
     assert own.health()["chunks"] and not own.health()["dependencies"]
     assert {r.type for r in own.graph_statistics("r").collect()} == {"CALLS", "EXTENDS", "IMPORTS"}
     assert not response(lambda: own.query_graph("selec"))["success"]
