@@ -11,13 +11,14 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelake.llm.tasks import per_slice, spread
+from codelake.llm.tasks import Totals, per_slice, spread, tally
+from codelake.session import cut
 
 #: Words of each language that its model keeps, most widely used first, and languages that get a model.
 MODEL_WORDS, MODEL_LANGUAGES = 2_000, 64
@@ -52,6 +53,8 @@ LINK = re.compile(
     rf"|(?<![\w./@`-])(?:[a-z0-9-]+{DOT})+(?!(?:{'|'.join(FILE_ENDINGS)})\b)[a-z]{{2,}}(?![\w(.])(?:/[^\s)\]>]*)?",
     re.IGNORECASE,
 )
+#: What a line has at least that holds a link.
+LINKED = re.compile(r"://|www|[a-z0-9]\.[a-z]{2}|[\[({]\s*(?:\.|dot|punkt|punto|point)\s*[\])}]|\s(?:dot|punkt|punto|point)\s")
 ANCHOR = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[^<>]*>", re.IGNORECASE)
 MARKUP = re.compile(r"</?[a-z][^<>]*>", re.IGNORECASE)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -77,63 +80,67 @@ def junk_share(text: str) -> float:
 
     A link's address counts as a few characters, whatever its length, so that long addresses do not outweigh prose.
     """
-    text = MARKUP.sub(" ", ANCHOR.sub(r" \1 ", text))
-    words = words_of(text)
+    text = text.lower()
+    if "<" in text:
+        text = MARKUP.sub(" ", ANCHOR.sub(r" \1 ", text))
+    words = WORD.findall(text)
     often = max(3, 0.03 * len(words))
-    repeated = {w for w, n in Counter(words).items() if n >= often and w not in FUNCTION_WORDS}
+    is_repeated = {w for w, n in Counter(words).items() if n >= often and w not in FUNCTION_WORDS}.__contains__
+    is_function = FUNCTION_WORDS.__contains__
     junk = total = 0
     for line in text.splitlines():
         line = line.strip()
-        tokens = line.split()
-        if not tokens:
+        if not line:
             continue
-        tags = sum(t[0] == "#" and t[1:2].isalpha() for t in tokens)
-        row = line.count("|") >= 3 and PRICE.search(line) and any(w in repeated for w in words_of(line))
-        if tags >= 0.6 * len(tokens) or row:
+        if "#" in line:
+            tokens = line.split()
+            whole = sum(t[0] == "#" and t[1:2].isalpha() for t in tokens) >= 0.6 * len(tokens)
+        else:
+            whole = line.count("|") >= 3 and PRICE.search(line) is not None and any(map(is_repeated, WORD.findall(line)))
+        if whole:
             junk += len(line)
             total += len(line)
             continue
+        linked = LINKED.search(line)
         for unit in SENTENCE_END.split(line):
-            bare, links = LINK.subn(" ", unit)
-            own = words_of(bare)
+            bare, links = LINK.subn(" ", unit) if linked else (unit, 0)
+            own = WORD.findall(bare)
             size = len(bare.strip()) + 8 * links
             total += size
-            function = sum(w in FUNCTION_WORDS for w in own)
             if links:
+                function = sum(map(is_function, own))
                 if not (len(own) >= 4 and function >= 1 and (function >= 2 or unit.rstrip().endswith((".", "!", "?")))):
                     junk += size
-            elif own and not RECORD.search(unit):
-                content = [w for w in own if w not in FUNCTION_WORDS]
-                covered = sum(w in repeated for w in own) / len(own)
-                sentence = function >= 1 and len(own) >= 5 and unit.endswith((".", "!", "?"))
-                listed = not sentence and function <= max(1, 0.15 * len(own)) and covered >= 0.4 and PLAIN.match(unit)
-                stuffed = covered >= 0.45 and len(set(content)) <= 0.75 * len(content) and len(CODE.findall(unit)) <= 0.03 * len(unit)
-                if listed or stuffed:
+                continue
+            covered = sum(map(is_repeated, own))
+            if not own or covered < 0.4 * len(own) or RECORD.search(unit):
+                continue
+            function = sum(map(is_function, own))
+            sentence = function >= 1 and len(own) >= 5 and unit.endswith((".", "!", "?"))
+            if not sentence and function <= max(1, 0.15 * len(own)) and PLAIN.match(unit):  # a list of search words
+                junk += size
+            elif covered >= 0.45 * len(own) and len(CODE.findall(unit)) <= 0.03 * len(unit):  # a sentence stuffed with them
+                content = [w for w in own if not is_function(w)]
+                if len(set(content)) <= 0.75 * len(content):
                     junk += size
     return junk / total if total else 0.0
 
 
 def word_use(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, word, uses, pages) over all documents; counted per slice of rows before the shuffle."""
+    """(lang, word, uses, pages) over all documents; added up in each task before the shuffle."""
 
     def work():
-        def apply(batch: pa.RecordBatch) -> pa.Table:
-            uses: defaultdict[str, Counter] = defaultdict(Counter)
-            pages: defaultdict[str, Counter] = defaultdict(Counter)
+        def add(batch: pa.RecordBatch, uses: Totals, pages: Totals) -> None:
             for code, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t:
                     own = Counter(words_of(t))
                     uses[code].update(own)
                     pages[code].update(own.keys())
-            rows = [(code, w, n, pages[code][w]) for code, own in uses.items() for w, n in own.items()]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "word", "uses", "pages"])
 
-        return apply
+        return add
 
     source = documents.select(language(lang).alias("__lang"), F.col(text).alias("__text"))
-    counted = per_slice(spread(source), work, "lang string, word string, uses bigint, pages bigint")
+    counted = tally(spread(source), work, "lang string, word string, uses bigint, pages bigint", 2)
     return counted.groupBy("lang", "word").agg(F.sum("uses").alias("uses"), F.sum("pages").alias("pages"))
 
 
@@ -215,6 +222,7 @@ def extreme_pages(profiles: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     inside = [F.coalesce(F.col(m).between(F.col(f"{m}_range")[0], F.col(f"{m}_range")[1]), F.lit(False)) for m in measures]
     ordinary = inside[0] & inside[1] & inside[2]
+    bounds = F.broadcast(bounds)  # two-letter languages by powers of 2: under 30,000 rows
     return pages.join(bounds, ["lang", "length"], "left").withColumn("extreme", ~ordinary).drop(*(f"{m}_range" for m in measures))
 
 
@@ -224,5 +232,5 @@ def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", la
     Null, empty and blank texts are never named; each row of a repeated text is judged alike.
     """
     models = language_models(word_use(documents, text, lang))
-    pages = extreme_pages(page_profiles(documents, models, key, text, lang), key)
+    pages = extreme_pages(cut(page_profiles(documents, models, key, text, lang)), key)  # read more than once, made once
     return pages.where(F.col("extreme") & (F.col("junk") > GREATER_PART)).select(key, "lang", "n_words", "slope", "residual", "divergence", "junk")
