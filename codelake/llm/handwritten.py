@@ -39,7 +39,6 @@ MOST_PACKAGES, BANNER_LINES = 100_000, 40
 # Folders that package managers own, and folders that hold copies of packages by custom.
 MANAGED = {"node_modules", "site-packages", "dist-packages", "bower_components", "jspm_packages"}
 CUSTOMARY = {"vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "extern", "deps", "plugins", "themes"}
-SOURCE_FOLDERS = {"src", "lib", "dist"}
 
 _LITERAL = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`(?:[^`\\]|\\[\s\S])*`'
 _CODE = r"[^\W\d][\w$]*|\$[\w$]+|\d[\w.]*|[^\s\w]"

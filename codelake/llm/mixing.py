@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.operators.running import running_before
-from codelake.session import cut
 
 #: Sources one mix may have: their sizes are gathered at the driver.
 MAX_SOURCES = 10_000
@@ -134,6 +133,11 @@ def report(mixed: DataFrame, planned: DataFrame) -> DataFrame:
     )
 
 
-def counted_once(documents: DataFrame) -> DataFrame:
-    """Keeps the token counts, which the plan and the mix both read, in the shared folder."""
-    return cut(documents)
+
+def tempered_to_targets(counted: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, own_share, weight, exponent): the sources' own token shares raised to the one exponent in [0, 1] at which their entropy is that of the target shares."""
+    rows = source_sizes(counted, targets).where("n_tokens > 0").orderBy("source").limit(MAX_SOURCES).collect()
+    own = tempered([float(r.n_tokens) for r in rows], 1)
+    exponent = exponent_for_entropy(own, entropy([r.target_share for r in rows])) if sum(r.target_share for r in rows) else 1.0
+    made = [(r.source, o, w, exponent) for r, o, w in zip(rows, own, tempered(own, exponent), strict=True)]
+    return counted.sparkSession.createDataFrame(made, "source string, own_share double, weight double, exponent double")
