@@ -48,13 +48,11 @@ FILE_ENDINGS = "py pyw js jsx mjs cjs ts tsx php go rs java cpp cc cxx hpp hh hx
 
 WORD = re.compile(r"[^\W\d_]+")
 DOT = r"(?:\.|\s*[\[({]\s*(?:\.|dot|punkt|punto|point)\s*[\])}]\s*|\s+(?:dot|punkt|punto|point)\s+)"
-LINK = re.compile(
-    rf"(?:https?://|www{DOT})[^\s)\]>]+(?:{DOT}[^\s)\]>]+)*"
-    rf"|(?<![\w./@`-])(?:[a-z0-9-]+{DOT})+(?!(?:{'|'.join(FILE_ENDINGS)})\b)[a-z]{{2,}}(?![\w(.])(?:/[^\s)\]>]*)?",
-    re.IGNORECASE,
-)
-#: What a line has at least that holds a link.
-LINKED = re.compile(r"://|www|[a-z0-9]\.[a-z]{2}|[\[({]\s*(?:\.|dot|punkt|punto|point)\s*[\])}]|\s(?:dot|punkt|punto|point)\s")
+URL = re.compile(rf"(?:https?://|www{DOT})[^\s)\]>]+(?:{DOT}[^\s)\]>]+)*")
+HOST = re.compile(rf"(?<![\w./@`-])(?:[a-z0-9-]+{DOT})+(?!(?:{'|'.join(FILE_ENDINGS)})\b)[a-z]{{2,}}(?![\w(.])(?:/[^\s)\]>]*)?")
+#: What a text with a bare host has at least: a dot before a name that is no file's ending, or a dot written out.
+NAME_DOT = re.compile(rf"\.(?!(?:{'|'.join(FILE_ENDINGS)})\b)[a-z]{{2}}")
+WRITTEN_DOTS = ("dot", "punkt", "punto", "point", "[.", "(.", "{.", "[ .", "( .", "{ .")
 ANCHOR = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[^<>]*>", re.IGNORECASE)
 MARKUP = re.compile(r"</?[a-z][^<>]*>", re.IGNORECASE)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -75,6 +73,11 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def hosted(text: str) -> bool:
+    """Whether a bare host can be in the text at all."""
+    return NAME_DOT.search(text) is not None or any(map(text.__contains__, WRITTEN_DOTS))
+
+
 def junk_share(text: str) -> float:
     """Share of the visible text that lies in units of links, product tags or repeated words; 0 for blank texts.
 
@@ -85,7 +88,8 @@ def junk_share(text: str) -> float:
         text = MARKUP.sub(" ", ANCHOR.sub(r" \1 ", text))
     words = WORD.findall(text)
     often = max(3, 0.03 * len(words))
-    is_repeated = {w for w, n in Counter(words).items() if n >= often and w not in FUNCTION_WORDS}.__contains__
+    repeated = {w for w, n in Counter(words).items() if n >= often and w not in FUNCTION_WORDS}
+    is_repeated = repeated.__contains__
     is_function = FUNCTION_WORDS.__contains__
     junk = total = 0
     for line in text.splitlines():
@@ -101,12 +105,17 @@ def junk_share(text: str) -> float:
             junk += len(line)
             total += len(line)
             continue
-        linked = LINKED.search(line)
+        linked = "://" in line or "www" in line
         for unit in SENTENCE_END.split(line):
-            bare, links = LINK.subn(" ", unit) if linked else (unit, 0)
-            own = WORD.findall(bare)
+            bare, links = URL.subn(" ", unit) if linked else (unit, 0)
+            if hosted(bare):
+                bare, hosts = HOST.subn(" ", bare)
+                links += hosts
             size = len(bare.strip()) + 8 * links
             total += size
+            if not links and not repeated:
+                continue
+            own = WORD.findall(bare)
             if links:
                 function = sum(map(is_function, own))
                 if not (len(own) >= 4 and function >= 1 and (function >= 2 or unit.rstrip().endswith((".", "!", "?")))):
@@ -231,6 +240,6 @@ def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", la
 
     Null, empty and blank texts are never named; each row of a repeated text is judged alike.
     """
-    models = language_models(word_use(documents, text, lang))
+    models = language_models(cut(word_use(documents, text, lang)))
     pages = extreme_pages(cut(page_profiles(documents, models, key, text, lang)), key)  # read more than once, made once
     return pages.where(F.col("extreme") & (F.col("junk") > GREATER_PART)).select(key, "lang", "n_words", "slope", "residual", "divergence", "junk")
