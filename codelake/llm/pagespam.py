@@ -28,6 +28,8 @@ TAIL = 0.1
 PROSE_SHARE = 0.15
 #: Share of a page's visible text that must be junk.
 GREATER_PART = 0.5
+#: Share of a page's words in repeated ones from which every word used three times is a repeated one, however long the page.
+COVERED = 0.6
 
 # Function words of the languages that readers of this corpus write.
 FUNCTION_WORDS = frozenset(
@@ -87,8 +89,9 @@ def junk_share(text: str) -> float:
     if "<" in text:
         text = MARKUP.sub(" ", ANCHOR.sub(r" \1 ", text))
     words = WORD.findall(text)
-    often = max(3, 0.03 * len(words))
-    repeated = {w for w, n in Counter(words).items() if n >= often and w not in FUNCTION_WORDS}
+    uses = {w: n for w, n in Counter(words).items() if n >= 3 and w not in FUNCTION_WORDS}
+    often = 3 if sum(uses.values()) >= COVERED * len(words) else max(3, 0.03 * len(words))
+    repeated = {w for w, n in uses.items() if n >= often}
     is_repeated = repeated.__contains__
     is_function = FUNCTION_WORDS.__contains__
     junk = total = 0
@@ -175,7 +178,7 @@ def divergence(counts: Counter, model: tuple[dict[str, float], float] | None) ->
 
 
 def page_profiles(documents: DataFrame, models: dict, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, n_words, function_share, divergence, junk, spectrum): spectrum lists how many words occur how often."""
+    """(key, lang, content, n_words, function_share, divergence, junk, spectrum): spectrum lists how many words occur how often, content is a hash of the text."""
     shared = documents.sparkSession.sparkContext.broadcast(models)
     kind = dict(documents.dtypes)[key]
 
@@ -189,18 +192,18 @@ def page_profiles(documents: DataFrame, models: dict, key: str = "doc_id", text:
             return n, sum(c for w, c in counts.items() if w in FUNCTION_WORDS) / max(1, n), divergence(counts, known.get(code)), junk_share(t or ""), spectrum
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = list(itertools.starmap(profile, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)))
+            made = list(itertools.starmap(profile, zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)))
             columns = list(zip(*made, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("times", pa.int32()), ("words", pa.int32())]))]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                names=[key, "lang", "n_words", "function_share", "divergence", "junk", "spectrum"],
+                [*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                names=[key, "lang", "content", "n_words", "function_share", "divergence", "junk", "spectrum"],
             )
 
         return apply
 
-    source = documents.select(F.col(key), language(lang).alias("__lang"), F.col(text).cast("string").alias("__text"))
-    schema = f"{key} {kind}, lang string, n_words bigint, function_share double, divergence double, junk double, spectrum array<struct<times int, words int>>"
+    source = documents.select(F.col(key), language(lang).alias("__lang"), F.xxhash64(F.col(text).cast("string")).alias("__content"), F.col(text).cast("string").alias("__text"))
+    schema = f"{key} {kind}, lang string, content bigint, n_words bigint, function_share double, divergence double, junk double, spectrum array<struct<times int, words int>>"
     return per_slice(spread(source), work, schema)
 
 
@@ -218,14 +221,17 @@ def rank_frequency(profiles: DataFrame, key: str = "doc_id") -> DataFrame:
 def extreme_pages(profiles: DataFrame, key: str = "doc_id") -> DataFrame:
     """The profiles with slope, residual and ``extreme``: beyond what prose of the same language and length (by powers of 2) shows.
 
-    Pages that nothing comparable is known of, such as those with too few words for a curve, count as extreme. Repeated
-    keys are compared once.
+    Only pages that are not for the greater part junk give the bounds, each distinct text once, so that no number of
+    copies of a stuffed page makes it ordinary. Pages that nothing comparable is known of, such as those with too few
+    words for a curve, count as extreme. Repeated keys are compared once.
     """
     measures = ["slope", "residual", "divergence"]
     length = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).alias("length")
     pages = profiles.dropDuplicates([key]).join(rank_frequency(profiles.dropDuplicates([key]), key), key, "left").select("*", length)
     bounds = (
-        pages.where(F.col("function_share") >= PROSE_SHARE)
+        pages.where((F.col("function_share") >= PROSE_SHARE) & (F.col("junk") <= GREATER_PART))
+        .groupBy("lang", "length", "content")
+        .agg(*(F.min(m).alias(m) for m in measures))
         .groupBy("lang", "length")
         .agg(*(F.percentile_approx(m, [TAIL, 1 - TAIL], 1000).alias(f"{m}_range") for m in measures))
     )

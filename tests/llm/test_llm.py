@@ -297,6 +297,24 @@ def test_spam_pages(spark):
     assert pagespam.spam_pages(docs.limit(0)).count() == 0
 
 
+def test_repetition_does_not_depend_on_length():
+    rng = random.Random(9)
+    many = [f"{a} {b}" for a in "cheap best fast free top new".split() for b in "shoes boots hats coats bags belts socks gloves scarves shirts jeans skirts".split()]
+    words = [rng.choice(many).split()[rng.randrange(2)] + rng.choice("abcdef") for _ in range(3000)]  # every word under 3 % of the page
+    assert pagespam.junk_share(",\n".join(" ".join(words[n : n + 6]) for n in range(0, 3000, 6))) > 0.9
+    long = " ".join(f"The {a}{n} of this {b} will be kept in its {c} until it is {n}." for n, (a, b, c) in enumerate(zip("abc" * 200, "defgh" * 120, "ij" * 300, strict=True)))
+    assert pagespam.junk_share(long) < 0.1
+
+
+def test_copies_of_a_stuffed_page_do_not_become_ordinary(spark):
+    rng = random.Random(10)
+    some = "cache index build worker parser queue reader writer folder table column branch commit server client".split()
+    line = lambda: f"The {rng.choice(some)} of {rng.choice(some)} is {rng.choice(['kept', 'read', 'made', 'lost'])} by a {rng.choice(some)}{rng.randrange(9)} and it was {rng.choice(some)}."
+    prose = [" ".join(line() for _ in range(rng.randrange(5, 8))) for _ in range(120)]
+    docs = spark.createDataFrame([(n, t, "en") for n, t in enumerate(prose + [SPAM["stuffed"]] * 120)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in pagespam.spam_pages(docs).collect()} == set(range(120, 240))
+
+
 def test_rank_frequency_equals_numpy(spark):
     import numpy as np
 
