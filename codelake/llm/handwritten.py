@@ -1,6 +1,6 @@
 """Generated, minified or vendored source files (problem 5).
 
-Character trigram models of identifiers, one per language, are trained on all files. A file is minified when most of its
+Character trigram models of identifiers, one per language, are trained on the distinct names of all files that are not packed. A file is minified when most of its
 names are mangled by their cross-entropy and it is packed; generated when its names are a few stems with numbers put in
 (low diversity); bulk data when hardly a name stands among its literals; vendored when its place, its banner or the
 namespace it declares carries the name of a known third-party package.
@@ -91,21 +91,36 @@ def grams(name: str) -> tuple[str, ...]:
     return tuple(padded[i : i + 3] for i in range(len(padded) - 2))
 
 
+def packed(text: str) -> bool:
+    """Whether the text has as few blanks as minified code."""
+    return len(text) - len("".join(text.split())) <= PACKED * len(text)
+
+
 def name_grams(files: DataFrame) -> DataFrame:
-    """(language, gram, n) over the distinct names of every file: at most 40^3 grams a language whatever the corpus."""
+    """(language, gram, n) over the distinct names of each language: at most 40^3 grams a language whatever the corpus.
+
+    A name counts once, whatever the number of files or copies it stands in; packed texts teach no names.
+    """
     reserved = {language: keywords(language) for language in EXTENSIONS}
 
     def work():
         def add(batch: pa.RecordBatch, counts: Totals) -> None:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = counts[language]
-                for name in names_in(tokens_of(language, text), reserved[language]):
-                    own.update(grams(name))
+                if not packed(text):
+                    counts[language].update(dict.fromkeys(names_in(tokens_of(language, text), reserved[language]), 1))
+
+        return add
+
+    def split():
+        def add(batch: pa.RecordBatch, counts: Totals) -> None:
+            for language, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[language].update(grams(name))
 
         return add
 
     source = files.select(language_of("file_path").alias("language"), "content").where("language is not null and content != ''")
-    return tally(spread(source), work, "language string, gram string, n bigint", 1).groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    names = tally(spread(source), work, "language string, name string, n bigint", 1).select("language", "name").distinct()
+    return tally(names, split, "language string, gram string, n bigint", 1).groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
 class NameModel:
@@ -156,11 +171,12 @@ def verdict(language: str | None, path: str, text: str, packages: set[str], mode
         return None
     tokens = tokens_of(language, text)
     names = names_in(tokens, reserved)
-    blanks = len(text) - len("".join(text.split()))
     uses = names.total()
-    if model is not None and uses >= LEAST_USES and blanks <= PACKED * len(text) and sum(n for name, n in names.items() if model.mangled(name)) >= MANGLED_SHARE * uses:
-        return "minified"
-    if len(names) >= LEAST_NAMES and len({DIGITS.sub("0", name) for name in names}) < DIVERSITY * len(names):
+    stems = {DIGITS.sub("0", name) for name in names}
+    template = len(names) >= LEAST_NAMES and len(stems) < DIVERSITY * len(names)
+    if model is not None and uses >= LEAST_USES and packed(text) and sum(n for name, n in names.items() if model.mangled(name)) >= MANGLED_SHARE * uses:
+        return "generated" if template and sum(map(model.mangled, stems)) < MANGLED_SHARE * len(stems) else "minified"
+    if template:
         return "generated"
     size = literal = 0
     for token, n in tokens.items():
@@ -176,13 +192,15 @@ def verdict(language: str | None, path: str, text: str, packages: set[str], mode
 def unwritten_files(files: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(repo_name, file_path, reason) of each file that was generated, minified, vendored or holds only data.
 
-    Null texts are judged by their place alone, as empty ones; a file with differing repeated rows is named if one row
+    A language whose files are all packed is judged by the names of all languages; where no file at all teaches names,
+    none is named as minified. Null texts are judged by their place alone, as empty ones; a file with differing repeated rows is named if one row
     is, for the first reason in alphabetical order.
     """
     packages = known_packages(dependencies, files)
     counts: defaultdict[str, dict[str, int]] = defaultdict(dict)
     for r in name_grams(files).collect():  # bounded by the alphabet
         counts[r.language][r.gram] = r.n
+        counts[""][r.gram] = counts[""].get(r.gram, 0) + r.n
     shared = files.sparkSession.sparkContext.broadcast((packages, {language: NameModel(own) for language, own in counts.items()}))
     reserved = {language: keywords(language) for language in EXTENSIONS}
 
@@ -191,7 +209,7 @@ def unwritten_files(files: DataFrame, dependencies: DataFrame) -> DataFrame:
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            reasons = pa.array([verdict(x, path or "", text or "", known, models.get(x), reserved.get(x, frozenset())) for x, path, text in rows], pa.string())
+            reasons = pa.array([verdict(x, path or "", text or "", known, models.get(x) or models.get(""), reserved.get(x, frozenset())) for x, path, text in rows], pa.string())
             found = reasons.is_valid()
             return pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found), reasons.filter(found)], names=["repo_name", "file_path", "reason"])
 

@@ -209,6 +209,18 @@ def test_unwritten_files(spark):
     handwritten.unwritten_files(odd, packages).count()
 
 
+def test_copies_of_a_bundle_do_not_become_the_norm(spark):
+    rng = random.Random(5)
+    short = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcdefghijklmnopqrstuvwxyz")
+    mini = "".join(f"function {short()}({short()},{short()}){{return {short()}({short()})?{short()}:{short()}.{short()}}}" for _ in range(60))
+    script = lambda n: hand(n).replace("def ", "function ").replace(":\n", " {\n").replace("()\n", "() }\n")
+    rows = [("r", f"own/h{n}.js", script(n), None) for n in range(30)] + [("r", f"m/b{n}.js", mini, None) for n in range(60)] + [("r", "m/only.ts", mini, None)]
+    files = spark.createDataFrame(rows, "repo_name string, file_path string, content string, dependency_name string")
+    packages = spark.createDataFrame([], "name string, slug string")
+    found = {r.file_path: r.reason for r in handwritten.unwritten_files(files, packages).collect()}
+    assert found == {f"m/b{n}.js": "minified" for n in range(60)} | {"m/only.ts": "minified"}
+
+
 # problem 7 ---------------------------------------------------------------------------------------------------------
 
 
