@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +33,10 @@ DIVERSITY, LEAST_NAMES = 0.3, 8
 DATA_NAMES, DATA_SHARE, DATA_SIZE = 6, 0.5, 300
 #: Names whose trigrams a worker remembers.
 REMEMBERED = 100_000
-#: Package names that are gathered at the driver, and lines in which a banner is looked for.
-MOST_PACKAGES, BANNER_LINES = 100_000, 40
+#: Package names that are gathered at the driver, and letters from which a name counts in a banner or namespace; folders may have shorter ones.
+MOST_PACKAGES, LEAST_LETTERS = 100_000, 3
+#: First lines in which, as in the comments at the head, any mention of terms makes a banner; further down it must claim rights.
+BANNER_LINES = 40
 
 # Folders that package managers own, and folders that hold copies of packages by custom.
 MANAGED = {"node_modules", "site-packages", "dist-packages", "bower_components", "jspm_packages"}
@@ -46,7 +48,10 @@ TOKENS = {hashes: re.compile("|".join([_LITERAL, r"/\*[\s\S]*?\*/", r"//[^\n]*",
 HASH_COMMENTS = {"python", "php"}
 COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?:(?<=\n)|\A)[ \t]*(?://|#)[^\n]*")
 BANNER = re.compile(r"licen[cs]e|copyright|\(c\)|@package|distribution|all rights reserved|\bMIT\b|\bBSD\b|^\W*[\w-]+ v?\d+\.\d+\.\d+\W*$", re.IGNORECASE | re.MULTILINE)
+STATED = re.compile(r"copyright (?:\(c\)|©|\d)|\(c\) ?\d{4}|@licen[cs]e|@package|SPDX-License|all rights reserved|(?:licensed|released|distributed) under|\A/\*!", re.IGNORECASE)
 NAMESPACE = re.compile(r"^[ \t]*(?:package|namespace)[ \t]+([\w.\\]+)", re.MULTILINE)
+#: Literals and comments, in which nothing is declared.
+ASIDE = re.compile(rf"{_LITERAL}|/\*[\s\S]*?\*/|//[^\n]*")
 DIGITS = re.compile(r"\d+")
 GRAM = re.compile(r"[^a-z0-9_^$]")
 
@@ -56,10 +61,10 @@ def package_name(column):
     return F.translate(F.regexp_replace(F.lower(F.btrim(column)), r"^.*/", ""), "_", "-")
 
 
-def known_packages(dependencies: DataFrame, files: DataFrame) -> set[str]:
-    """Names of third-party packages from the inventory and the files' dependency_name: one short string per package."""
-    named = [dependencies.select(package_name(F.col(c)).alias("name")) for c in ("name", "slug")] + [files.select(package_name(F.col("dependency_name")).alias("name"))]
-    names = named[0].union(named[1]).union(named[2]).where("length(name) > 2").distinct().limit(MOST_PACKAGES + 1).collect()
+def known_packages(dependencies: DataFrame, *scanned: DataFrame) -> set[str]:
+    """Names of third-party packages from the inventory and the dependency_name of files and chunks: one short string per package."""
+    named = [dependencies.select(package_name(F.col(c)).alias("name")) for c in ("name", "slug")] + [t.select(package_name(F.col("dependency_name")).alias("name")) for t in scanned]
+    names = reduce(DataFrame.union, named).where("name != ''").distinct().limit(MOST_PACKAGES + 1).collect()
     if len(names) > MOST_PACKAGES:
         raise ValueError(f"more than {MOST_PACKAGES} packages")
     return {r.name for r in names}
@@ -152,14 +157,21 @@ def vendored(path: str, text: str, packages: set[str]) -> bool:
             inside = folders[at + 2] if inside.startswith("@") and at + 2 < len(folders) else inside
             if inside in packages:
                 return True
-    head = "\n".join(text.split("\n", BANNER_LINES)[:BANNER_LINES])
-    for comment in COMMENT.findall(head):
-        if BANNER.search(comment) and any(w in packages for w in re.findall(r"[a-z][\w-]*", comment.lower().replace("_", "-"))):
+    leading, end = True, 0
+    first_lines = len("\n".join(text.split("\n", BANNER_LINES)[:BANNER_LINES]))
+    for found in COMMENT.finditer(text):
+        comment, begin = found[0], found.start()
+        leading = leading and not text[end:begin].strip()
+        end = found.end()
+        at_head = leading or begin < first_lines
+        if (BANNER if at_head else STATED).search(comment) and any(len(w) >= LEAST_LETTERS and w in packages for w in re.findall(r"[a-z][\w-]*", comment.lower().replace("_", "-"))):
             return True
-    declared = NAMESPACE.search(head)
-    if declared:
-        parts = re.split(r"[.\\]", declared[1].lower().replace("_", "-"))
-        return parts[0] in packages or (len(parts) > 1 and parts[0] in ("org", "com", "net", "io", "de") and parts[1] in packages)
+    if NAMESPACE.search(text):
+        for name in NAMESPACE.findall(ASIDE.sub(" ", text)):
+            parts = re.split(r"[.\\]", name.lower().replace("_", "-"))
+            own = parts[1] if len(parts) > 1 and parts[0] in ("org", "com", "net", "io", "de") and parts[0] not in packages else parts[0]
+            if len(own) >= LEAST_LETTERS and own in packages:
+                return True
     return False
 
 
@@ -189,14 +201,14 @@ def verdict(language: str | None, path: str, text: str, packages: set[str], mode
     return None
 
 
-def unwritten_files(files: DataFrame, dependencies: DataFrame) -> DataFrame:
+def unwritten_files(files: DataFrame, dependencies: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """(repo_name, file_path, reason) of each file that was generated, minified, vendored or holds only data.
 
     A language whose files are all packed is judged by the names of all languages; where no file at all teaches names,
     none is named as minified. Null texts are judged by their place alone, as empty ones; a file with differing repeated rows is named if one row
     is, for the first reason in alphabetical order.
     """
-    packages = known_packages(dependencies, files)
+    packages = known_packages(dependencies, files, *([] if chunks is None else [chunks]))
     counts: defaultdict[str, dict[str, int]] = defaultdict(dict)
     for r in name_grams(files).collect():  # bounded by the alphabet
         counts[r.language][r.gram] = r.n

@@ -31,7 +31,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return handwritten.unwritten_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "dependencies"))
+    return handwritten.unwritten_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "dependencies"), table(spark, sf_dir, "chunks"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

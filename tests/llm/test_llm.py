@@ -221,6 +221,22 @@ def test_copies_of_a_bundle_do_not_become_the_norm(spark):
     assert found == {f"m/b{n}.js": "minified" for n in range(60)} | {"m/only.ts": "minified"}
 
 
+def test_vendored_copies_beyond_the_first_lines(spark):
+    terms = "/*\n" + " * Permission is granted under the terms below, without any warranty.\n" * 60 + " * Copyright 2012 quill-box contributors\n */\n"
+    deep = hand(6) * 2
+    rows = [
+        ("r", "lib/a/long.js", terms + hand(1), None), ("r", "lib/b/Far.java", terms.replace("quill-box", "many") + "package org.quillbox.a;\nclass A {}", None),
+        ("r", "lib/c/bundle.py", deep + "\n# Copyright 2012 quill-box contributors\n" + hand(2), None), ("r", "vendor/ws/x.py", hand(3), None), ("r", "vendor/chunky/x.py", hand(4), None),
+        ("r", "own/decoy.py", deep + "\n# the distribution of quill-box has a license\n" + hand(5), None), ("r", "own/Decoy.java", "class B {\n" + "int a;\n" * 50 + "/*\npackage quillbox;\n*/\n}", None),
+        ("r", "own/short.py", "# Copyright 2020 by us, no ws\n" + hand(7), None),
+    ]
+    files = spark.createDataFrame(rows, "repo_name string, file_path string, content string, dependency_name string")
+    packages = spark.createDataFrame([("quill-box", "quillbox"), ("ws", None)], "name string, slug string")
+    chunks = spark.createDataFrame([("Chunky",), (None,)], "dependency_name string")
+    found = {r.file_path for r in handwritten.unwritten_files(files, packages, chunks).collect()}
+    assert found == {"lib/a/long.js", "lib/b/Far.java", "lib/c/bundle.py", "vendor/ws/x.py", "vendor/chunky/x.py"}
+
+
 # problem 7 ---------------------------------------------------------------------------------------------------------
 
 
