@@ -19,6 +19,8 @@ from codelake.operators.running import running_before
 MAX_SOURCES = 10_000
 #: Hash buckets of a permutation: how far a source's rows spread.
 BUCKETS = 1024
+#: Exponent beyond which shares that differ at all have nothing but the largest left.
+MAX_EXPONENT = 2.0**40
 
 
 def entropy(weights: list[float]) -> float:
@@ -28,13 +30,19 @@ def entropy(weights: list[float]) -> float:
 
 def tempered(shares: list[float], exponent: float) -> list[float]:
     """The shares to the power of ``exponent``, summing to 1; shares of 0 stay 0."""
-    raised = [s**exponent if s > 0 else 0.0 for s in shares]
+    largest = max(shares, default=0.0)
+    raised = [(s / largest) ** exponent if s > 0 else 0.0 for s in shares]
     return [r / sum(raised) for r in raised] if sum(raised) else raised
 
 
 def exponent_for_entropy(shares: list[float], target: float) -> float:
-    """The exponent in [0, 1] whose tempered shares have the target entropy, or the nearest end of that range."""
-    low, high = 0.0, 1.0  # entropy falls from log(n) to that of the shares themselves
+    """The exponent from 0 whose tempered shares have the target entropy, or the nearest that bisection can tell.
+
+    Entropy falls from log(n) at 0 to that of the shares themselves at 1 and to log(number of largest shares) without end.
+    """
+    low, high = 0.0, 1.0
+    while high < MAX_EXPONENT and entropy(tempered(shares, high)) > target:
+        low, high = high, high * 2
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if entropy(tempered(shares, middle)) > target else (low, middle)
@@ -135,8 +143,10 @@ def report(mixed: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def tempered_to_targets(counted: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, own_share, weight, exponent): the sources' own token shares raised to the one exponent in [0, 1] at which their entropy is that of the target shares."""
-    rows = source_sizes(counted, targets).where("n_tokens > 0").orderBy("source").limit(MAX_SOURCES).collect()
+    """(source, own_share, weight, exponent): the sources' own token shares raised to the one exponent from 0 at which their entropy is that of the target shares."""
+    rows = source_sizes(counted, targets).where("n_tokens > 0").orderBy("source").limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     own = tempered([float(r.n_tokens) for r in rows], 1)
     exponent = exponent_for_entropy(own, entropy([r.target_share for r in rows])) if sum(r.target_share for r in rows) else 1.0
     made = [(r.source, o, w, exponent) for r, o, w in zip(rows, own, tempered(own, exponent), strict=True)]

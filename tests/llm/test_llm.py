@@ -253,6 +253,19 @@ def test_weights():
     assert mixing.entropy(mixing.tempered(own, a)) == pytest.approx(0.8)
 
 
+def test_tempering_beyond_the_own_shares(spark, monkeypatch):
+    own = mixing.tempered([0.5, 0.3, 0.2], 1)
+    a = mixing.exponent_for_entropy(own, 0.1)
+    assert a > 1 and mixing.entropy(mixing.tempered(own, a)) == pytest.approx(0.1)
+    assert mixing.tempered([0.0, 0.2, 0.1], 1e9) == [0.0, 1.0, 0.0]
+    counted = spark.createDataFrame([(1, "a", 5), (2, "b", 3)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.99, 1), ("b", 0.01, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.entropy([r.weight for r in mixing.tempered_to_targets(counted, targets).collect()]) == pytest.approx(mixing.entropy([0.99, 0.01]))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError, match="more than 1 sources"):
+        mixing.tempered_to_targets(counted, targets)
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(n, rng.choice(["big"] * 8 + ["mid", "small"]), rng.randrange(0, 60), "x") for n in range(1500)] + [(9000, None, 50, "x"), (9001, "other", 50, "x"), (9002, "big", None, "x")]
