@@ -212,8 +212,8 @@ class Index:
 
     def class_hierarchy(self, class_id: str, direction: str = "both") -> DataFrame:
         extends = self.table("edges").where("type = 'EXTENDS'")
-        up = G.reach(extends, self._start(class_id), 100).select(F.lit("up").alias("direction"), "id", "distance")
-        down = G.reach(extends, self._start(class_id), 100, "in").select(F.lit("down").alias("direction"), "id", "distance")
+        up = G.reach(extends, self._start(class_id), None).select(F.lit("up").alias("direction"), "id", "distance")
+        down = G.reach(extends, self._start(class_id), None, "in").select(F.lit("down").alias("direction"), "id", "distance")
         return {"up": up, "down": down, "both": up.unionByName(down)}[direction]
 
     def hierarchies(self) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.operators import hierarchy
 from codelake.session import cut, stripped
 
 EXTERNAL = "external_"
@@ -73,8 +76,8 @@ def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int, direction: str = "out") -> DataFrame:
-    """(start, id, distance): nodes within max_depth hops of each start, with their least distance; the start itself is none.
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None, direction: str = "out") -> DataFrame:
+    """(start, id, distance): nodes within max_depth hops of each start (None: however far), with their least distance; the start itself is none.
 
     Breadth first over all starts at once: each hop joins the newly reached pairs with the edges and drops those known.
     """
@@ -86,12 +89,14 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int, direction: str = "
     pairs = cut(pairs.distinct())
     found = start.select(F.col("id").alias("start"), "id").distinct().withColumn("distance", F.lit(0))
     frontier = found
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(pairs, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).distinct()
         frontier = cut(step.join(found.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(depth)))
         if not frontier.limit(1).count():
             break
         found = found.unionByName(frontier)
+        if depth % 20 == 0:
+            found = cut(found)  # deep searches must not build up a union of all their hops
     return found.where("distance > 0")
 
 
@@ -110,13 +115,17 @@ def usages(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where(F.col("type").isin(*USAGE_TYPES)).join(users, "src").select(F.col("dst").alias("target"), F.col("src").alias("user"), "user_name", "type", "line_number")
 
 
-def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """(cycle, length) of the simple cycles of 2 to max_length edges, each once, smallest id first.
+def cycles(edges: DataFrame, max_length: int | None = 8) -> DataFrame:
+    """(cycle, length) of the simple cycles of 2 to max_length edges (None: of any length), each once, smallest id first.
+
+    Of any length, edges that give each node one target at most are followed by pointer doubling.
 
     Nodes that cannot lie on a cycle, having no edge in or none out, are taken off until none is left; paths then grow
     from each node through larger ids only, so that every cycle is met at its smallest one.
     """
     pairs = cut(edges.where("src != dst").select("src", "dst").distinct())
+    if max_length is None and not pairs.groupBy("src").count().where("count > 1").limit(1).count():
+        return hierarchy.cycles(pairs.select(F.col("src").alias("child"), F.col("dst").alias("parent")))
     left = pairs.count()
     while left:
         ends = pairs.select(F.col("dst").alias("src")).distinct()
@@ -129,7 +138,7 @@ def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
     step = pairs.select(F.col("src").alias("last"), F.col("dst").alias("next"))
     paths = pairs.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
     found = None
-    for length in range(2, max_length + 1):
+    for length in itertools.count(2) if max_length is None else range(2, max_length + 1):
         grown = cut(paths.join(step, "last"))
         closed = grown.where(F.col("next") == F.col("path")[0]).select(F.col("path").alias("cycle"), F.lit(length).alias("length"))
         found = closed if found is None else found.unionByName(closed)

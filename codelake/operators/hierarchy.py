@@ -56,7 +56,7 @@ def _separate(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cycles(endless: DataFrame) -> DataFrame:
-    """(node_id, root_id): for each node whose chain never ends, the smallest id on the cycle it runs into."""
+    """(node_id, root_id, on_cycle): for each node whose chain never ends, the smallest id on the cycle it runs into."""
     state = cut(endless.select("id", F.col("parent").alias("up"), F.col("id").alias("least")))
     seen = state.select("up").distinct()
     measure = (seen.count(), None)
@@ -70,7 +70,21 @@ def _cycles(endless: DataFrame) -> DataFrame:
             break
         measure = (now[0], now[1])
     least = state.select(F.col("id").alias("up"), F.col("least").alias("root_id"))
-    return state.join(least, "up").select(F.col("id").alias("node_id"), "root_id")
+    on = state.select(F.col("up").alias("id")).distinct().withColumn("on", F.lit(True))  # links enough up, only cycles are left
+    return state.join(least, "up").join(on, "id", "left").select(F.col("id").alias("node_id"), "root_id", F.coalesce("on", F.lit(False)).alias("on_cycle"))
+
+
+def cycles(links: DataFrame) -> DataFrame:
+    """(cycle, length) of the cycles of two or more of (child, parent) links with one parent each, each from its smallest id up its parents.
+
+    The rounds grow with the logarithm of the longest chain or cycle: each cycle is cut above its smallest id and ranked.
+    """
+    links = cut(links.select("child", "parent"))
+    on = cut(_cycles(_separate(links)[1]).where("on_cycle"))
+    opened = on.where("node_id != root_id").select(F.col("node_id").alias("child")).join(links, "child")
+    ranked = hierarchy(opened, paths=False)
+    members = F.array_sort(F.collect_list(F.struct(F.when(F.col("depth") > 0, -F.col("depth")).otherwise(-(2**31)).alias("at"), "node_id")))
+    return ranked.groupBy("root_id").agg(F.transform(members, lambda m: m["node_id"]).alias("cycle")).select("cycle", F.size("cycle").alias("length"))
 
 
 def _chains(trees: DataFrame) -> DataFrame:

@@ -72,12 +72,12 @@ def q_call_graph_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     extends = _of(spark, sf_dir, "EXTENDS")
-    return G.reach(extends, extends.agg(F.max("src").alias("id")), 30).select("id", "distance")
+    return G.reach(extends, extends.agg(F.max("src").alias("id")), None).select("id", "distance")
 
 
 def q_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     extends = _of(spark, sf_dir, "EXTENDS")
-    return G.reach(extends, extends.where("not is_external").agg(F.min("dst").alias("id")), 30, "in").select("id", "distance")
+    return G.reach(extends, extends.where("not is_external").agg(F.min("dst").alias("id")), None, "in").select("id", "distance")
 
 
 def q_class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def q_class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.cycles(_of(spark, sf_dir, "EXTENDS"), 8)
+    found = G.cycles(_of(spark, sf_dir, "EXTENDS"), None)
     return found.select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 

@@ -39,6 +39,17 @@ def test_cycles(spark):
     assert {tuple(r.cycle) for r in two} == {("a", "b"), ("a", "b", "c")}
 
 
+def test_traversals_without_an_end(spark):
+    ring = [f"r{(n * 7) % 11:02}" for n in range(11)]
+    tail = [("t0", "r03"), *((f"t{n}", f"t{n - 1}") for n in range(1, 23))]
+    edges = calls(spark, [*zip(ring, ring[1:] + ring[:1], strict=True), *tail, ("x", "x")])
+    assert [(r.cycle, r.length) for r in G.cycles(edges, None).collect()] == [(ring, 11)]
+    assert max(r.distance for r in G.reach(edges, at(spark, "t22"), None).collect()) == 23 + 10
+    many = calls(spark, [*zip(ring, ring[1:] + ring[:1], strict=True), ("r07", "r00")])
+    assert {tuple(r.cycle) for r in G.cycles(many, None).collect()} == {tuple(ring), ("r00", "r07")}
+    assert G.cycles(calls(spark, EDGES[3:]), None).count() == 0
+
+
 def test_edges_merge_and_externals(spark):
     rows = [
         (1, "r", " S ", "T", "t", "calls", 3, T), (1, "r", " S ", "T", "t", "calls", 3, T), (2, "r", "s", "t", None, "CALLS ", 9, T), (3, "r", "s", None, "Base", "EXTENDS", 1, T),
