@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import collections
+import math
 import random
 import warnings
 
@@ -315,19 +316,30 @@ PLAIN = {
 }
 
 
-def test_junk_share():
-    for name, text in SPAM.items():
-        assert pagespam.junk_share(text) > 0.6, name
-    for name, text in PLAIN.items():
-        assert pagespam.junk_share(text) < 0.4, name
+def test_read_counts_words_and_kinds():
+    uses, records = pagespam.read("See [the Page](https://a.example/x?y=1), www[.]b[.]test and c dot example: #Tag #12 for 4.99, 1.2.3 do_it() `x`")
+    assert uses == {"see": 1, "the": 1, "page": 1, "and": 1, "for": 1, "x": 1, pagespam.LINK: 3, pagespam.TAG: 1, pagespam.PRICE: 1}
+    assert records == 9  # #12, 1.2.3 in three, do_it, two signs each of the call and the name
+    assert pagespam.read('<li><a href="https://a.example/b" rel=x>Blue</a></li>')[0] == {pagespam.LINK: 1, "blue": 1}
     for text in ODD:
-        assert 0 <= pagespam.junk_share(text) <= 1
+        uses, records = pagespam.read(text)
+        assert min([records, *uses.values()]) >= 0
+
+
+def test_language_of_a_page_is_the_one_it_is_nearest_to():
+    models = {"en": pagespam.Language(100, [("the", 20), ("of", 10), ("index", 5)]), "de": pagespam.Language(100, [("der", 20), ("von", 10), ("index", 5)]), "und": pagespam.Language(200, [("the", 20), ("der", 20)])}
+    reader = pagespam.Reader(models)
+    assert [reader.language(label, {"der": 3, "von": 1, "index": 1}) for label in ("de", "en", "und", "fr")] == ["de"] * 4
+    assert reader.language("en", {"index": 2}) == "en" and reader.language("fr", {"x": 1}) == "und"
+    whole, part = reader.divergence("en", {"the": 2, "shoe": 6})
+    by_hand = 0.25 * math.log(0.25 / 0.2), 0.75 * (math.log(0.75) + math.log(1010))
+    assert whole == pytest.approx(sum(by_hand)) and part == pytest.approx(by_hand[1])
 
 
 def test_spam_pages(spark):
     rng = random.Random(8)
-    sentences = [s + "." for s in "The cache is small|A test reads all of the rows|You will need the build only when it has types|We saw the parser stop after some files|Each worker has its own queue|The default is what you set|It was written by hand|Please do not edit this".split("|")]
-    prose = [" ".join(rng.choice(sentences) for _ in range(rng.randrange(4, 40))) for _ in range(300)]
+    sentences = [s + "." for s in "The cache is small|A test reads all of the rows|You will need the build only when it has types|We saw the parser stop after some files|Each worker has its own queue|The default is what you set|It was written by hand|Please do not edit this|This page is about the guide for users and how they read it|The index is built when a job ends and it tells you so|How you do this is up to you|A guide tells you what the page shows and when to use it|See https://docs.example/guide for more|The [guide](https://docs.example/x) tells you why".split("|")]
+    prose = [" ".join((rng.sample(sentences, len(sentences)) * 4)[: rng.randrange(4, 40)]) for _ in range(300)]  # in rounds, as no text says one thing only
     texts = [*prose, *SPAM.values(), *PLAIN.values(), None, "", "  ", SPAM["list"], *ODD]
     rows = [(n, t, rng.choice(["en", "EN", "eng"]) if n % 20 else None, 1.0) for n, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, junk double")
@@ -338,15 +350,6 @@ def test_spam_pages(spark):
     assert pagespam.spam_pages(docs.limit(0)).count() == 0
 
 
-def test_repetition_does_not_depend_on_length():
-    rng = random.Random(9)
-    many = [f"{a} {b}" for a in "cheap best fast free top new".split() for b in "shoes boots hats coats bags belts socks gloves scarves shirts jeans skirts".split()]
-    words = [rng.choice(many).split()[rng.randrange(2)] + rng.choice("abcdef") for _ in range(3000)]  # every word under 3 % of the page
-    assert pagespam.junk_share(",\n".join(" ".join(words[n : n + 6]) for n in range(0, 3000, 6))) > 0.9
-    long = " ".join(f"The {a}{n} of this {b} will be kept in its {c} until it is {n}." for n, (a, b, c) in enumerate(zip("abc" * 200, "defgh" * 120, "ij" * 300, strict=True)))
-    assert pagespam.junk_share(long) < 0.1
-
-
 def test_copies_of_a_stuffed_page_do_not_become_ordinary(spark):
     rng = random.Random(10)
     some = "cache index build worker parser queue reader writer folder table column branch commit server client".split()
