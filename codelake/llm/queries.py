@@ -60,15 +60,25 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.realise(counted, planned), planned)
 
 
+def p7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the largest mix that meets every target share."""
+    counted, targets = _counted(spark, sf_dir)
+    planned = mixing.plan(counted, targets, exact=True)
+    return mixing.report(mixing.realise(counted, planned), planned)
+
+
 def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.tempered_to_targets(*_counted(spark, sf_dir))
+    """The report of the mix by own shares tempered to the targets' entropy."""
+    counted, targets = _counted(spark, sf_dir)
+    planned = mixing.tempered_to_targets(counted, targets)
+    return mixing.report(mixing.realise(counted, planned), planned)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagespam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p7_tempered": p7_tempered, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_ids": p6_ids, "p6_sizes": p6_sizes, "p7_mix": p7_mix, "p7_report": p7_report, "p7_exact": p7_exact, "p7_tempered": p7_tempered, "p8_found": p8_found}
 ORACLE = {
     "p2_found": """select distinct repo_name, id from chunks c left join split_limits l on l.chunk_type = c.chunk_type
       left join split_limits o on o.chunk_type = '*' where length(content) > coalesce(l.max_chars, o.max_chars)""",

@@ -242,13 +242,24 @@ def test_vendored_copies_beyond_the_first_lines(spark):
 
 
 def test_weights():
-    weights, size, exponent = mixing.weights_within_limits([0.5, 0.3, 0.2, 0.1], [100.0, 300.0, 1000.0, 0.0], None)
+    def limits(targets, tokens, repeats, size):
+        return mixing.weights_within_limits(targets, tokens, repeats, size)
+
+    weights, size, exponent = limits([0.5, 0.3, 0.2, 0.1], [100.0, 150.0, 200.0, 0.0], [1, 2, 5, 3], None)
     assert exponent == 0 and size == pytest.approx(200) and weights == pytest.approx([0.5, 0.3, 0.2, 0])
-    weights, size, exponent = mixing.weights_within_limits([0.5, 0.3, 0.2], [100.0, 300.0, 1000.0], 600.0)
-    assert 0 < exponent < 1 and size == 600 and sum(weights) == pytest.approx(1)
-    assert all(w * size <= c * (1 + 1e-9) for w, c in zip(weights, [100, 300, 1000], strict=True)) and weights[0] * size == pytest.approx(100)
-    assert mixing.weights_within_limits([0.5, 0.5], [10.0, 30.0], 1e9)[1] == 40
-    assert mixing.weights_within_limits([], [], None) == ([], 0.0, 0.0) and mixing.weights_within_limits([1.0], [0.0], None)[1] == 0
+    targets, tokens, repeats = [0.5, 0.3, 0.2], [100.0, 300.0, 1000.0], [3, 2, 1]
+    assert limits(targets, tokens, repeats, 600.0) == (pytest.approx(targets), 600.0, 0.0)
+    weights, size, exponent = limits(targets, tokens, repeats, 1300.0)
+    assert 0 < exponent < 1 and size == 1300 and sum(weights) == pytest.approx(1)
+    room = [w * size / n for w, n in zip(weights, tokens, strict=True)]
+    assert all(x <= r * (1 + 1e-9) for x, r in zip(room, repeats, strict=True)) and max(x / r for x, r in zip(room, repeats, strict=True)) == pytest.approx(1)  # one limit binds
+    by_formula = [t ** (1 - exponent) * n**exponent for t, n in zip(targets, tokens, strict=True)]
+    assert weights == pytest.approx([x / sum(by_formula) for x in by_formula])
+    smaller = [t ** (1 - exponent * 0.99) * n ** (exponent * 0.99) for t, n in zip(targets, tokens, strict=True)]
+    assert any(x / sum(smaller) * size > n * r for x, n, r in zip(smaller, tokens, repeats, strict=True))  # no smaller exponent fits
+    assert limits([0.5, 0.5], [10.0, 30.0], [1, 1], 1e9)[1:] == (pytest.approx(40), pytest.approx(1))
+    assert limits([1 / 3] * 3, tokens, [9, 9, 1], 1400.0)[0] == pytest.approx(mixing.tempered(tokens, limits([1 / 3] * 3, tokens, [9, 9, 1], 1400.0)[2]))  # equal targets: own shares to the exponent
+    assert limits([], [], [], None) == ([], 0.0, 0.0) and limits([1.0], [0.0], [1], None)[1] == 0 and limits([1.0], [5.0], [0], None)[1] == 0
     own = mixing.tempered([0.9, 0.09, 0.01], 1)
     a = mixing.exponent_for_entropy(own, 0.8)
     assert mixing.entropy(mixing.tempered(own, a)) == pytest.approx(0.8)
@@ -267,12 +278,13 @@ def test_tempering_beyond_the_own_shares(spark, monkeypatch):
         mixing.tempered_to_targets(counted, targets)
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(n, rng.choice(["big"] * 8 + ["mid", "small"]), rng.randrange(0, 60), "x") for n in range(1500)] + [(9000, None, 50, "x"), (9001, "other", 50, "x"), (9002, "big", None, "x")]
     counted = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, block string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.1, 3), ("absent", 0.1, 9), (None, 0.2, 1), ("zero", None, None)], "source string, target_share double, max_repeats int")
-    planned = mixing.plan(counted, targets)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    planned = mixing.plan(counted, targets, exact=True)
     mixed = mixing.realise(counted, planned, blocks=10)
     used = collections.defaultdict(list)
     for r in mixed.collect():
@@ -287,6 +299,11 @@ def test_mix(spark):
         assert 0 <= report[source].budget - report[source].mixed_tokens < 60
     again = mixing.realise(counted, planned, blocks=10)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
+    for planned in (mixing.plan(counted, targets), mixing.tempered_to_targets(counted, targets)):  # as large as the corpus; of the targets' entropy
+        rows = mixing.report(mixing.realise(counted, planned), planned).collect()
+        assert {0 < r.exponent < 1 for r in rows} == {True}
+        assert all(0 <= r.budget - r.mixed_tokens < 60 and r.most_repeats <= r.max_repeats for r in rows)
+        assert all(abs(r.actual_share - r.weight) < 0.01 for r in rows)
     empty = mixing.plan(counted.limit(0), targets)
     assert mixing.report(mixing.realise(counted.limit(0), empty), empty).count() == 5
     assert mixing.plan(counted, targets.limit(0)).count() == 0
