@@ -19,6 +19,8 @@ from codelake.operators.running import running_before
 
 #: Sources one mix may have: their sizes are gathered at the driver.
 MAX_SOURCES = 10_000
+#: Size of a mix, as part of the tokens its sources have, where none is wanted.
+FILL = 0.5
 #: Documents of a permutation that one window holds, about: a source is laid out in as many hash buckets as it needs.
 BUCKET_ROWS = 50_000
 #: Exponent beyond which shares that differ at all have nothing but the largest left.
@@ -113,11 +115,11 @@ def _planned(counted: DataFrame, rows: list, weights: list[float], total: float,
 def plan(counted: DataFrame, targets: DataFrame, size: float | None = None, exact: bool = False) -> DataFrame:
     """The sizes with weight, budget (tokens), epochs (budget by tokens) and exponent, a row per source.
 
-    The wanted size in tokens is that of the sources themselves unless given; ``exact`` takes the largest mix that meets
+    The wanted size in tokens is FILL of what the sources have unless given; ``exact`` takes the largest mix that meets
     every target.
     """
     rows = _few(source_sizes(counted, targets))
-    size = None if exact else float(sum(r.n_tokens for r in rows if r.target_share > 0)) if size is None else size
+    size = None if exact else FILL * sum(r.n_tokens for r in rows if r.target_share > 0) if size is None else size
     return _planned(counted, rows, *weights_within_limits([r.target_share for r in rows], [float(r.n_tokens) for r in rows], [float(r.max_repeats) for r in rows], size))
 
 

@@ -299,7 +299,9 @@ def test_mix(spark, monkeypatch):
         assert 0 <= report[source].budget - report[source].mixed_tokens < 60
     again = mixing.realise(counted, planned, blocks=10)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
-    for planned in (mixing.plan(counted, targets), mixing.tempered_to_targets(counted, targets)):  # as large as the corpus; of the targets' entropy
+    wanted = 0.9 * counted.where("source in ('big', 'mid', 'small')").agg(F.sum("n_tokens")).first()[0]
+    assert sum(r.budget for r in mixing.plan(counted, targets).collect()) == pytest.approx(mixing.FILL * wanted / 0.9, abs=3)
+    for planned in (mixing.plan(counted, targets, wanted), mixing.tempered_to_targets(counted, targets)):  # nearly all tokens; the targets' entropy
         rows = mixing.report(mixing.realise(counted, planned), planned).collect()
         assert {0 < r.exponent < 1 for r in rows} == {True}
         assert all(0 <= r.budget - r.mixed_tokens < 60 and r.most_repeats <= r.max_repeats for r in rows)
