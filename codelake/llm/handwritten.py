@@ -1,9 +1,11 @@
 """Generated, minified or vendored source files (problem 5).
 
-Character trigram models of identifiers, one per language, are trained on the distinct names of all files that are not packed. A file is minified when most of its
-names are mangled by their cross-entropy and it is packed; generated when its names are a few stems with numbers put in
-(low diversity); bulk data when hardly a name stands among its literals; vendored when its place, its banner or the
-namespace it declares carries the name of a known third-party package.
+Every file is read once into its names. Character trigram models, one per language, are trained on the distinct names of
+all files that are not packed. A file is minified when most of its names are mangled by their cross-entropy and it is
+packed; generated when its names are a few stems with numbers put in (low diversity); bulk data when hardly a name stands
+among its literals. It is vendored when its place, a banner or the namespace it declares shows a name that is foreign by
+its language's model and, as an exact check, is that of a known package; or when it lies where copies are kept and the
+shapes of its names are foreign to the rest of its repository. Short files are judged with shrinkage, not by switches.
 """
 
 from __future__ import annotations
@@ -20,23 +22,24 @@ from pyspark.sql import functions as F
 from codelake.llm.parsing import read_grammar
 from codelake.llm.sourcefiles import EXTENSIONS, language_of
 from codelake.llm.tasks import Totals, per_slice, spread, tally
+from codelake.session import cut
 
 #: Bits per character above a language's own entropy from which a name is mangled, and share of mangled uses of a minified file.
-MANGLED_BITS, MANGLED_SHARE = 1.0, 0.5
+MANGLED_BITS, MANGLED_SHARE = 1.0, 0.35
 #: A minified file has at most this share of blanks.
 PACKED = 0.13
-#: Uses of names from which a file can be told to be minified.
-LEAST_USES = 40
-#: Share of names left once numbers in them are taken as one, below which a file with enough names is a filled-in template.
-DIVERSITY, LEAST_NAMES = 0.3, 8
-#: A data file has at most so many names, at least this share of its code in literals, and so many characters of code.
-DATA_NAMES, DATA_SHARE, DATA_SIZE = 6, 0.5, 300
+#: Uses by which a file's mangled share is shrunk towards none, and names by which its diversity is towards all.
+SHRUNK_USES, SHRUNK_NAMES = 20, 1
+#: Share of names left once numbers in them are taken as one, below which a file is a filled-in template.
+DIVERSITY = 0.3
+#: A data file has at most this share of its code in names, and at least this one in literals, shrunk by so many characters.
+DATA_NAMES, DATA_SHARE, SHRUNK_SIZE = 0.02, 0.5, 50
 #: Names whose trigrams a worker remembers.
 REMEMBERED = 100_000
-#: Package names that are gathered at the driver, and letters from which a name counts in a banner or namespace; folders may have shorter ones.
-MOST_PACKAGES, LEAST_LETTERS = 100_000, 3
-#: First lines in which, as in the comments at the head, any mention of terms makes a banner; further down it must claim rights.
-BANNER_LINES = 40
+#: Bits per character beyond its language's mean from which a name is foreign, in a folder for copies and elsewhere, and letters it has elsewhere.
+FOREIGN_BITS, LEAST_LETTERS = {"folder": -1.0, "text": 0.0}, 3
+#: Divergence in nats of a file's name shapes from its repository's from which its style is foreign, and the names by which both are shrunk.
+STYLE_NATS, SHRUNK_STYLE = 0.2, 20
 
 # Folders that package managers own, and folders that hold copies of packages by custom.
 MANAGED = {"node_modules", "site-packages", "dist-packages", "bower_components", "jspm_packages"}
@@ -61,13 +64,10 @@ def package_name(column):
     return F.translate(F.regexp_replace(F.lower(F.btrim(column)), r"^.*/", ""), "_", "-")
 
 
-def known_packages(dependencies: DataFrame, *scanned: DataFrame) -> set[str]:
-    """Names of third-party packages from the inventory and the dependency_name of files and chunks: one short string per package."""
+def known_packages(dependencies: DataFrame, *scanned: DataFrame) -> DataFrame:
+    """(name) of third-party packages from the inventory and the dependency_name of files and chunks, each once."""
     named = [dependencies.select(package_name(F.col(c)).alias("name")) for c in ("name", "slug")] + [t.select(package_name(F.col("dependency_name")).alias("name")) for t in scanned]
-    names = reduce(DataFrame.union, named).where("name != ''").distinct().limit(MOST_PACKAGES + 1).collect()
-    if len(names) > MOST_PACKAGES:
-        raise ValueError(f"more than {MOST_PACKAGES} packages")
-    return {r.name for r in names}
+    return reduce(DataFrame.union, named).where("name != ''").distinct()
 
 
 def keywords(language: str) -> frozenset[str]:
@@ -101,20 +101,95 @@ def packed(text: str) -> bool:
     return len(text) - len("".join(text.split())) <= PACKED * len(text)
 
 
-def name_grams(files: DataFrame) -> DataFrame:
-    """(language, gram, n) over the distinct names of each language: at most 40^3 grams a language whatever the corpus.
+SHAPES = ("low", "camel", "snake", "pascal", "upper", "one")
 
-    A name counts once, whatever the number of files or copies it stands in; packed texts teach no names.
+
+def shape_of(name: str) -> str:
+    """How a name is put together."""
+    if len(name) == 1:
+        return "one"
+    if name.isupper():
+        return "upper"
+    if "_" in name:
+        return "snake"
+    if name[0].isupper():
+        return "pascal"
+    return "camel" if any(map(str.isupper, name)) else "low"
+
+
+def places(path: str) -> tuple[bool, list[str]]:
+    """(whether a package manager owns a folder of the path, the names inside folders where copies are kept)."""
+    folders = [f.strip().lower().replace("_", "-") for f in path.replace("\\", "/").split("/")[:-1]]
+    inside = []
+    for at, folder in enumerate(folders[:-1]):
+        if folder.replace("-", "_") in MANAGED or folder in MANAGED:
+            return True, []
+        if folder.replace("-", "_") in CUSTOMARY or folder in CUSTOMARY:
+            scoped = folders[at + 1].startswith("@") and at + 2 < len(folders)
+            inside.append(folders[at + 2 if scoped else at + 1])
+    return False, inside
+
+
+def stated_names(text: str) -> set[str]:
+    """Words of the comments that state terms or whose rights they are, and the names of declared namespaces, at any place of the text.
+
+    The comments at the head may name terms in any way; further down a banner must claim rights.
     """
+    stated: set[str] = set()
+    leading, end = True, 0
+    for found in COMMENT.finditer(text):
+        comment = found[0]
+        leading = leading and not text[end : found.start()].strip()
+        end = found.end()
+        if (BANNER if leading else STATED).search(comment):
+            stated.update(re.findall(r"[a-z][\w-]*", comment.lower().replace("_", "-")))
+    if NAMESPACE.search(text):
+        for name in NAMESPACE.findall(ASIDE.sub(" ", text)):
+            parts = re.split(r"[.\\]", name.lower().replace("_", "-"))
+            stated.update(parts[:2] if parts[0] in ("org", "com", "net", "io", "de") else parts[:1])
+    return {name for name in stated if len(name) >= LEAST_LETTERS}
+
+
+FILE = "repo_name string, file_path string, language string, is_packed boolean, managed boolean, size bigint, literal bigint, names array<string>, uses array<int>, inside array<string>, stated array<string>, " + ", ".join(f"{x} int" for x in SHAPES)
+
+
+def file_names(files: DataFrame) -> DataFrame:
+    """One row per input row: the distinct names of a file with their uses and shapes, and what else of it the judgement needs."""
     reserved = {language: keywords(language) for language in EXTENSIONS}
 
+    def look(path: str, language: str | None, text: str) -> tuple:
+        managed, inside = places(path)
+        tokens = tokens_of(language, text) if language else Counter()
+        names = names_in(tokens, reserved[language]) if language else Counter()
+        size = literal = 0
+        for token, n in tokens.items():
+            if not token.startswith(("//", "/*")) and not (token[0] == "#" and len(token) > 1):
+                size += n * len(token)
+                if token[0].isdigit() or (len(token) > 1 and token[-1] in "\"'`"):
+                    literal += n * len(token)
+        shapes = Counter(map(shape_of, names))
+        return packed(text), managed, size, literal, list(names), list(names.values()), inside, list(stated_names(text)), *(shapes[x] for x in SHAPES)
+
     def work():
-        def add(batch: pa.RecordBatch, counts: Totals) -> None:
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not packed(text):
-                    counts[language].update(dict.fromkeys(names_in(tokens_of(language, text), reserved[language]), 1))
+        strings = pa.list_(pa.string())
+        types = [pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), strings, pa.list_(pa.int32()), strings, strings, *([pa.int32()] * len(SHAPES))]
+        labels = [column.split()[0] for column in FILE.split(", ")]
 
-        return add
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [look(path or "", language, text or "") for path, language, text in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
+            columns = list(zip(*made, strict=True)) or [[]] * len(types)
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=labels)
+
+        return apply
+
+    return per_slice(spread(files.select("repo_name", "file_path", language_of("file_path").alias("language"), "content")), work, FILE)
+
+
+def name_grams(read: DataFrame) -> DataFrame:
+    """(language, gram, n) over the distinct names of each language: at most 40^3 grams a language whatever the corpus.
+
+    A name counts once, whatever the number of files or copies it stands in; packed texts teach no names.
+    """
 
     def split():
         def add(batch: pa.RecordBatch, counts: Totals) -> None:
@@ -123,8 +198,7 @@ def name_grams(files: DataFrame) -> DataFrame:
 
         return add
 
-    source = files.select(language_of("file_path").alias("language"), "content").where("language is not null and content != ''")
-    names = tally(spread(source), work, "language string, name string, n bigint", 1).select("language", "name").distinct()
+    names = read.where("language is not null and not is_packed").select("language", F.explode("names").alias("name")).distinct()
     return tally(names, split, "language string, gram string, n bigint", 1).groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -147,86 +221,81 @@ class NameModel:
         return self.cross_entropy(name) > self.mean + MANGLED_BITS
 
 
-def vendored(path: str, text: str, packages: set[str]) -> bool:
-    folders = [f.strip().lower().replace("_", "-") for f in path.replace("\\", "/").split("/")[:-1]]
-    for at, folder in enumerate(folders[:-1]):
-        inside = folders[at + 1]
-        if folder.replace("-", "_") in MANAGED or folder in MANAGED:
-            return True
-        if folder.replace("-", "_") in CUSTOMARY or folder in CUSTOMARY:
-            inside = folders[at + 2] if inside.startswith("@") and at + 2 < len(folders) else inside
-            if inside in packages:
-                return True
-    leading, end = True, 0
-    first_lines = len("\n".join(text.split("\n", BANNER_LINES)[:BANNER_LINES]))
-    for found in COMMENT.finditer(text):
-        comment, begin = found[0], found.start()
-        leading = leading and not text[end:begin].strip()
-        end = found.end()
-        at_head = leading or begin < first_lines
-        if (BANNER if at_head else STATED).search(comment) and any(len(w) >= LEAST_LETTERS and w in packages for w in re.findall(r"[a-z][\w-]*", comment.lower().replace("_", "-"))):
-            return True
-    if NAMESPACE.search(text):
-        for name in NAMESPACE.findall(ASIDE.sub(" ", text)):
-            parts = re.split(r"[.\\]", name.lower().replace("_", "-"))
-            own = parts[1] if len(parts) > 1 and parts[0] in ("org", "com", "net", "io", "de") and parts[0] not in packages else parts[0]
-            if len(own) >= LEAST_LETTERS and own in packages:
-                return True
-    return False
-
-
-def verdict(language: str | None, path: str, text: str, packages: set[str], model: NameModel | None, reserved: frozenset[str]) -> str | None:
-    """Why nobody in the repository wrote the file by hand, or None."""
-    if vendored(path, text, packages):
-        return "vendored"
-    if language is None or not text:
-        return None
-    tokens = tokens_of(language, text)
-    names = names_in(tokens, reserved)
-    uses = names.total()
+def verdict(is_packed: bool, size: int, literal: int, names: list[str], uses: list[int], model: NameModel) -> str | None:
+    """Why a file of names like these was written by a program or holds only data, or None."""
     stems = {DIGITS.sub("0", name) for name in names}
-    template = len(names) >= LEAST_NAMES and len(stems) < DIVERSITY * len(names)
-    if model is not None and uses >= LEAST_USES and packed(text) and sum(n for name, n in names.items() if model.mangled(name)) >= MANGLED_SHARE * uses:
-        return "generated" if template and sum(map(model.mangled, stems)) < MANGLED_SHARE * len(stems) else "minified"
+    template = len(stems) + SHRUNK_NAMES < DIVERSITY * (len(names) + SHRUNK_NAMES)
+    if is_packed:
+        mangled = {name for name in names if model.mangled(name)}
+        if sum(n for name, n in zip(names, uses, strict=True) if name in mangled) >= MANGLED_SHARE * (sum(uses) + SHRUNK_USES):
+            return "generated" if template and sum(map(model.mangled, stems)) < 0.5 * len(stems) else "minified"
     if template:
         return "generated"
-    size = literal = 0
-    for token, n in tokens.items():
-        if not token.startswith(("//", "/*")) and not (token[0] == "#" and len(token) > 1):
-            size += n * len(token)
-            if token[0].isdigit() or (len(token) > 1 and token[-1] in "\"'`"):
-                literal += n * len(token)
-    if len(names) <= DATA_NAMES and size >= DATA_SIZE and literal >= DATA_SHARE * size:
-        return "data"
-    return None
+    in_names = sum(n * len(name) for name, n in zip(names, uses, strict=True))
+    return "data" if in_names <= DATA_NAMES * size and literal >= DATA_SHARE * (size + SHRUNK_SIZE) else None
 
 
-def unwritten_files(files: DataFrame, dependencies: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """(repo_name, file_path, reason) of each file that was generated, minified, vendored or holds only data.
-
-    A language whose files are all packed is judged by the names of all languages; where no file at all teaches names,
-    none is named as minified. Null texts are judged by their place alone, as empty ones; a file with differing repeated rows is named if one row
-    is, for the first reason in alphabetical order.
-    """
-    packages = known_packages(dependencies, files, *([] if chunks is None else [chunks]))
+def judged(read: DataFrame) -> DataFrame:
+    """(repo_name, file_path, reason, foreign) of each row with a reason or with foreign names where a package would put its own."""
     counts: defaultdict[str, dict[str, int]] = defaultdict(dict)
-    for r in name_grams(files).collect():  # bounded by the alphabet
+    for r in name_grams(read).collect():  # bounded by the alphabet
         counts[r.language][r.gram] = r.n
         counts[""][r.gram] = counts[""].get(r.gram, 0) + r.n
-    shared = files.sparkSession.sparkContext.broadcast((packages, {language: NameModel(own) for language, own in counts.items()}))
-    reserved = {language: keywords(language) for language in EXTENSIONS}
+    shared = read.sparkSession.sparkContext.broadcast({language: NameModel(own) for language, own in counts.items()})
 
     def work():
-        known, models = shared.value
+        models = shared.value
+        whole = models.get("") or NameModel({})
+
+        def judge(language, is_packed, managed, size, literal, names, uses, inside, stated):
+            model = models.get(language) or whole
+            foreign = [x for where, own in (("folder", inside), ("text", stated)) for x in own if model.cross_entropy(x) > model.mean + FOREIGN_BITS[where]]
+            return "vendored" if managed else verdict(is_packed, size, literal, names, uses, model) if language else None, foreign
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            reasons = pa.array([verdict(x, path or "", text or "", known, models.get(x) or models.get(""), reserved.get(x, frozenset())) for x, path, text in rows], pa.string())
-            found = reasons.is_valid()
-            return pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found), reasons.filter(found)], names=["repo_name", "file_path", "reason"])
+            made = [judge(*row) for row in zip(*(batch.column(c).to_pylist() for c in range(2, 11)), strict=True)]
+            reasons, foreign = pa.array([r for r, _ in made], pa.string()), pa.array([f for _, f in made], pa.list_(pa.string()))
+            found = pa.array([r is not None or bool(f) for r, f in made], pa.bool_())
+            return pa.RecordBatch.from_arrays([c.filter(found) for c in (batch.column(0), batch.column(1), reasons, foreign)], names=["repo_name", "file_path", "reason", "foreign"])
 
         return apply
 
-    source = files.select("repo_name", "file_path", language_of("file_path").alias("language"), "content")
-    found = per_slice(spread(source), work, "repo_name string, file_path string, reason string")
-    return found.groupBy("repo_name", "file_path").agg(F.min("reason").alias("reason"))
+    columns = [column.split()[0] for column in FILE.split(", ")][:11]
+    return per_slice(read.select(*columns), work, "repo_name string, file_path string, reason string, foreign array<string>")
+
+
+def foreign_styles(read: DataFrame) -> DataFrame:
+    """(repo_name, file_path) of the files where copies are kept whose names' shapes diverge from those of the rest of their repository.
+
+    Both are shrunk, the repository's shares towards its language's and the file's towards the repository's, so that few
+    names tell little. Packed files form no style.
+    """
+    styled = read.where("language is not null and not is_packed")
+    sums = [F.sum(x).alias(x) for x in SHAPES]
+    language = styled.groupBy("language").agg(*sums).select("language", *(((F.col(x) + 1) / (sum(map(F.col, SHAPES)) + len(SHAPES))).alias(f"{x}_all") for x in SHAPES))
+    repository = styled.groupBy(F.col("repo_name").alias("r"), F.col("language").alias("l")).agg(*(F.sum(x).alias(f"{x}_repo") for x in SHAPES))
+    placed = styled.where("size(inside) > 0").join(F.broadcast(language), "language")  # a row a language
+    placed = placed.join(repository, F.col("repo_name").eqNullSafe(F.col("r")) & (F.col("language") == F.col("l")))
+    total = lambda suffix: sum((F.col(f"{x}{suffix}") for x in SHAPES), F.lit(0))
+    rest = {x: (F.col(f"{x}_repo") - F.col(x) + SHRUNK_STYLE * F.col(f"{x}_all")) / (total("_repo") - total("") + SHRUNK_STYLE) for x in SHAPES}
+    own = {x: (F.col(x) + SHRUNK_STYLE * rest[x]) / (total("") + SHRUNK_STYLE) for x in SHAPES}
+    return placed.where(sum((own[x] * F.log(own[x] / rest[x]) for x in SHAPES), F.lit(0.0)) > STYLE_NATS).select("repo_name", "file_path")
+
+
+def unwritten_files(files: DataFrame, dependencies: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(repo_name, file_path, reason) of each file that was generated, minified, vendored or holds only data.
+
+    Reasons: vendored (a package's name), foreign (style), data, generated, minified. A language whose files are all
+    packed is judged by the names of all languages. Null texts are judged by their place alone, as empty ones; a file with
+    differing repeated rows is named if one row is, a package's name first, then the first reason in alphabetical order.
+    """
+    packages = known_packages(dependencies, files, *([] if chunks is None else [chunks]))
+    read = cut(file_names(files))  # each text is read once
+    found = cut(judged(read))
+    named = found.select("repo_name", "file_path", F.explode("foreign").alias("name")).join(packages, "name", "left_semi")
+    rows = (
+        found.where("reason is not null").select("repo_name", "file_path", "reason")
+        .unionByName(named.select("repo_name", "file_path", F.lit("vendored").alias("reason")))
+        .unionByName(foreign_styles(read).withColumn("reason", F.lit("foreign")))
+    )
+    return rows.groupBy("repo_name", "file_path").agg(F.coalesce(F.max(F.when(F.col("reason") == "vendored", F.col("reason"))), F.min("reason")).alias("reason"))
