@@ -72,15 +72,20 @@ _MEMBER = rf"(?:\?\.|(?<![\d.])\.)\s*#?[^\W\d][\w$]*"
 _SPLIT_OPERATORS = OPERATORS.replace("|>=", "").replace(">>>=|", "").replace("|>>=", "")  # where > also closes type lists
 _DIRECTIVE = r"(?m:^[ \t]*#[ \t]*(?:include|define|undef|ifdef|ifndef|if|elif|else|endif|pragma|error|warning|line)\b(?:[^\n\\/]|\\[\s\S]|/(?![/*]))*)"
 
+#: The rest of a template from its beginning or a closed expression: to its end or the next expression.
+_TEMPLATE = r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)"
+#: Name, signs and blanks of markup in a script.
+_MARKUP = r"[^\W\d][\w$]*(?:[.:-][\w$-]+)*"
+
 #: What the tokens of a language look like, in the order tried; blanks between tokens match nothing and fall out.
 PATTERNS = {
     "javascript": "|".join((
-        r"\A#![^\n]*", LINE_COMMENT, BLOCK_COMMENT, STRING_DOUBLE, STRING_SINGLE, r"`(?:[^`\\]|\\[\s\S])*`",
+        r"\A#![^\n]*", LINE_COMMENT, BLOCK_COMMENT, STRING_DOUBLE, STRING_SINGLE, "`" + _TEMPLATE,
         r"(?:(?<=[(,=:\[!&|?{};\n>])|(?<=[(,=:\[!&|?{};>] )|(?<=return )|(?<=\A))/(?![*/\s=])(?:[^\\/\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*",
         _MEMBER, NUMBER + r"n?(?![\w$])", r"[#@]?[^\W\d][\w$]*|\$[\w$]*", OPERATORS, r"\n", r"\S",
     )),
     "typescript": "|".join((
-        r"\A#![^\n]*", LINE_COMMENT, BLOCK_COMMENT, STRING_DOUBLE, STRING_SINGLE, r"`(?:[^`\\]|\\[\s\S])*`",
+        r"\A#![^\n]*", LINE_COMMENT, BLOCK_COMMENT, STRING_DOUBLE, STRING_SINGLE, "`" + _TEMPLATE,
         r"(?:(?<=[(,=:\[!&|?{};\n>])|(?<=[(,=:\[!&|?{};>] )|(?<=return )|(?<=\A))/(?![*/\s=])(?:[^\\/\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*",
         _MEMBER, NUMBER + r"n?(?![\w$])", r"[#@]?[^\W\d][\w$]*|\$[\w$]*", _SPLIT_OPERATORS, r"\n", r"\S",
     )),
@@ -164,6 +169,123 @@ def layout(found: list[str], classes: Classes) -> str:
     return "".join(out)
 
 
+class Script:
+    """Tokens of a script with templates or markup in it: the expressions within them stand in brackets behind a string."""
+
+    rest = re.compile(_TEMPLATE).match
+    tag = re.compile(rf"<(?:({_MARKUP})(?=[\s/>]))?(?!\s+extends\b)(?=[\s/>])").match
+    attribute = re.compile(rf"\s*(?:({_MARKUP})(?:\s*=\s*(\"[^\"]*\"|'[^']*'|(?=[{{<])))?|(?=\{{\s*\.\.\.)|(/?>))").match
+    text = re.compile(r"[^<{}>]*").match
+    closing = re.compile(rf"</\s*({_MARKUP})?\s*>").match
+    #: What an expression, and so markup, may follow.
+    opens = frozenset("( , = : [ ! && || ? ?? { } ; => return default".split())
+
+    def __init__(self, pattern: re.Pattern, source: str, markup: bool):
+        self.search, self.source, self.markup = pattern.search, source, markup
+
+    def tokens(self, at: int = 0, inner: bool = False) -> tuple[list[str], int]:
+        """The tokens from a place on; ``inner``: to the brace that closes it, which is passed."""
+        out: list[str] = []
+        depth, last = 0, ";"
+        while found := self.search(self.source, at):
+            token, at = found[0], found.end()
+            if token[0] == "`" and len(token) > 1:
+                out.append("``")
+                while token[-1] == "{":
+                    inside, at = self.tokens(at, True)
+                    more = self.rest(self.source, at)
+                    out += ["[", *inside, "]", "``"]
+                    if more is None:
+                        return [*out, "`"], len(self.source)
+                    token, at = more[0], more.end()
+                last = "`"
+                continue
+            if token == "<" and self.markup and last in self.opens:
+                made = self.element(found.start())
+                if made is not None:
+                    out += made[0]
+                    at, last = made[1], "`"
+                    continue
+            if inner and token in "{}":
+                if token == "}" and not depth:
+                    return out, at
+                depth += 1 if token == "{" else -1
+            out.append(token)
+            if token != "\n" and not token.startswith(("//", "/*")):
+                last = token
+        return (["`", *out], at) if inner else (out, at)
+
+    def braced(self, at: int) -> tuple[list[str], int]:
+        """An expression in braces; one of nothing but blanks and comments stands for a string."""
+        inside, at = self.tokens(at + 1, True)
+        inside = inside[1:] if inside[:1] == ["..."] else inside
+        blank = all(t == "\n" or t.startswith(("//", "/*")) for t in inside)
+        return ["[", *(["``"] if blank else inside), "]"], at
+
+    def element(self, at: int) -> tuple[list[str], int] | None:
+        """Markup from its ``<`` on, or None where it is none."""
+        head = self.tag(self.source, at)
+        if head is None:
+            return None
+        out, at = ["``"], head.end()
+        while True:
+            part = self.attribute(self.source, at)
+            if part is None:
+                return None
+            at = part.end()
+            if part[3]:
+                break
+            if self.source[at : at + 1] == "{" and (part[1] is None or part[2] == ""):
+                inside, at = self.braced(at)
+                out += inside
+            elif part[2] == "":
+                inside = self.element(at)
+                if inside is None:
+                    return None
+                out += ["[", *inside[0], "]"]
+                at = inside[1]
+        if part[3] == "/>":
+            return out, at
+        while True:
+            at = self.text(self.source, at).end()
+            end = self.closing(self.source, at)
+            if end:
+                return (out, end.end()) if end[1] == head[1] else None
+            sign = self.source[at : at + 1]
+            if sign == "{":
+                inside, at = self.braced(at)
+                out += inside
+            elif sign == "<" and (inside := self.element(at)) is not None:
+                out += ["[", *inside[0], "]"]
+                at = inside[1]
+            else:
+                return None
+
+
+_BRANCH = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b", re.MULTILINE)
+
+
+def one_branch(text: str, last: bool) -> str:
+    """The text with the first, or the last, branch alone of each conditional of the preprocessor."""
+    cuts: list[tuple[int, int]] = []
+    open_: list[list[int]] = []  # where each branch of an open conditional begins
+    for found in _BRANCH.finditer(text):
+        if found[1].startswith("if"):
+            open_.append([found.start()])
+        elif open_:
+            open_[-1].append(found.start())
+            if found[1] == "endif":
+                marks = open_.pop()
+                if len(marks) > 2:
+                    cuts += [(marks[0], marks[-2])] if last else [(marks[1], marks[-1])]
+    kept, at = [], 0
+    for start, end in sorted(cuts):
+        if start >= at:
+            kept.append(text[at:start])
+            at = end
+    return "".join([*kept, text[at:]])
+
+
 class Lexer:
     """Turns a text into the token classes of one language's tables."""
 
@@ -171,10 +293,13 @@ class Lexer:
         self.language, self.tables = language, tables
         self.classes = Classes(tables, grammar)
         pattern = re.compile(PATTERNS[language])
+        self.pattern = pattern
         self.find = pattern.findall if not pattern.groups else lambda text: [m[0] for m in pattern.finditer(text)]
         self.types = "<TYPES>" in tables.terminals
+        self.script = language in ("javascript", "typescript")
 
-    def __call__(self, text: str) -> str:
+    def __call__(self, text: str, markup: bool = False) -> str:
+        """``markup``: the text is of a dialect with markup among its expressions."""
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
         text = text.removeprefix("\ufeff")
@@ -182,7 +307,8 @@ class Lexer:
             return layout(self.find("\n" + text), self.classes)
         if self.language == "php":
             text = "?>" + text  # a file begins outside the code
-        tokens = "".join(map(self.classes.__getitem__, self.find(text)))
+        found = Script(self.pattern, text, markup).tokens()[0] if self.script and ("${" in text or (markup and "<" in text)) else self.find(text)
+        tokens = "".join(map(self.classes.__getitem__, found))
         if self.types:
             tokens = typed_lists(tokens, self.tables)
         if self.language == "go":

@@ -19,6 +19,8 @@ PAIR = dict(zip(OPEN, CLOSE, strict=True))
 NEWLINE = "\n"
 BAD = "\x00"  # a token that no grammar knows
 RUNS = re.compile(r"[(\[{\x01)\]}\x02]|[^(\[{\x01)\]}\x02]+")
+#: Runs of tokens that are remembered whole: how many a table keeps, and how long one is at most.
+MOST_RUNS, LONGEST_RUN = 50_000, 48
 _NOTATION = re.compile(r"\s*(?:'((?:[^'\\]|\\.)+)'|([A-Za-z_]\w*)|([()|*+?]))")
 
 
@@ -80,7 +82,8 @@ class Tables:
         self.sets: list[frozenset[int]] = []
         self.after_newline: list[bool] = []
         self.known: dict[tuple[frozenset[int], bool], int] = {}
-        self.steps: list[dict[str, int]] = []  # tokens and whole runs of tokens; -1 where the table has nothing
+        self.steps: list[dict[str, int]] = []  # by token; -1 where the table has nothing
+        self.runs: dict[tuple[int, str], int] = {}
         self.returns: dict[tuple[int, str, int], int] = {}
         self.first = self.number(self.closure({self.bounds[top][0]}))
         self.last = self.bounds[top][1]
@@ -255,7 +258,7 @@ class Tables:
 
     def accepts(self, tokens: str) -> int:
         """-1 if the tokens are a whole text of the language, else the position of the first token that cannot stand there."""
-        state, at, steps = self.first, 0, self.steps
+        state, at, runs = self.first, 0, self.runs
         stack: list[tuple[int, str]] = []
         for run in RUNS.findall(tokens):
             if run in PAIR:
@@ -275,9 +278,13 @@ class Tables:
                 if state < 0:
                     return at
             else:
-                after = steps[state].get(run)
+                after = runs.get((state, run))
                 if after is None:
-                    after = steps[state][run] = self.run(state, run)
+                    after = self.run(state, run)
+                    if len(run) <= LONGEST_RUN:
+                        if len(runs) >= MOST_RUNS:
+                            runs.clear()
+                        runs[state, run] = after
                 if after < 0:
                     for offset, token in enumerate(run):
                         state = self.step(state, token)

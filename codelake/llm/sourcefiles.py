@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.lexing import Lexer
+from codelake.llm.lexing import Lexer, one_branch
 from codelake.llm.parsing import NEWLINE, Tables, read_grammar
 from codelake.llm.tasks import per_slice, spread
 
@@ -23,6 +25,8 @@ EXTENSIONS = {
     "c": "c h",
     "csharp": "cs",
 }
+#: A conditional of the preprocessor with more than one branch.
+CONDITIONAL = re.compile(r"^[ \t]*#[ \t]*(?:else|elif)\b", re.MULTILINE)
 #: States of a language's tables from which a worker makes them anew.
 MOST_STATES = 1_000_000
 
@@ -40,14 +44,27 @@ class Parsers:
     def __init__(self, grammars: dict):
         self.grammars, self.ready = grammars, {}
 
-    def first_error(self, language: str, text: str) -> int | None:
-        """None for a text of the language or one without tokens, else the share of its tokens, in per mille, before the first that cannot stand there."""
+    def first_error(self, language: str, text: str, markup: bool = False) -> int | None:
+        """None for a text of the language or one without tokens, else the share of its tokens, in per mille, before the first that cannot stand there.
+
+        Of conditionals of the preprocessor the first branches are read together, and then the last ones. Markup or
+        templates nested beyond what a parser of expressions takes make an error at the beginning.
+        """
+        if language in ("c", "cpp") and CONDITIONAL.search(text):
+            errors = (self.first_error_of(language, one_branch(text, last), markup) for last in (False, True))
+            return next((e for e in errors if e is not None), None)
+        try:
+            return self.first_error_of(language, text, markup)
+        except RecursionError:
+            return 0
+
+    def first_error_of(self, language: str, text: str, markup: bool) -> int | None:
         tables, lexer = self.ready.get(language, (None, None))
         if tables is None or len(tables.moves) > MOST_STATES:
             tables = Tables(self.grammars[language])
             lexer = Lexer(language, tables, self.grammars[language])
             self.ready[language] = tables, lexer
-        tokens = lexer(text)
+        tokens = lexer(text, markup)
         if not tokens.strip(NEWLINE):  # nothing but comments
             return None
         at = tables.accepts(tokens)
@@ -66,8 +83,8 @@ def invalid_files(files: DataFrame) -> DataFrame:
         parsers = Parsers(grammars)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            languages, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            errors = pa.array([parsers.first_error(x, t) if t.strip() else None for x, t in zip(languages, texts, strict=True)], pa.int32())
+            rows = zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)
+            errors = pa.array([parsers.first_error(x, t, p.rstrip()[-1:] in "xX") if t.strip() else None for p, x, t in rows], pa.int32())  # .jsx, .tsx
             wrong = errors.is_valid()
             return pa.RecordBatch.from_arrays([c.filter(wrong) for c in (*batch.columns[:3], errors)], names=["repo_name", "file_path", "language", "error_at"])
 

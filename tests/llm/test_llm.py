@@ -146,6 +146,44 @@ def test_grammars(parsers, language):
         parsers.first_error(language, text)
 
 
+MARKED_UP = {
+    "javascript": [
+        'const A = () => <div className="x" onClick={() => f({a: 1})} {...rest}>hi, {n > 1 ? <b>n</b> : null} {/* c */} it\'s <br/> <></></div>;\n',
+        "function F() {\n  return (\n    <Foo.Bar x='1'>\n      {items.map(i => <li key={i}>{`a${i}`}</li>)}\n    </Foo.Bar>\n  );\n}\n",
+    ],
+    "typescript": ["const A: FC<P> = ({ a, b }: P) => {\n  const x = a < b;\n  return <Box a={a as string}>t</Box>;\n};\nexport default A;\n", "const f = <T,>(x: T): T => x;\nconst g = <T extends object>(x: T) => x;\n"],
+}
+
+
+def test_markup_and_templates_are_parsed_through(parsers):
+    for language, texts in MARKED_UP.items():
+        for text in texts:
+            assert parsers.first_error(language, text, True) is None, text
+            assert parsers.first_error(language, text[: len(text) * 2 // 3], True) is not None, text
+    for text in ("<div><b></div>;\n", "<div>{a b}</div>;\n", "<div>", "<a b=c/>"):
+        assert parsers.first_error("javascript", "const A = " + text, True) is not None, text
+    for text in ("const a = `x${b + `y${c}`} z`;\n", "tag`a${x}b`.f();\nconst q = `plain \\${ $ {`;\nif (a) { b = `${c}` }\n"):
+        assert parsers.first_error("javascript", text) is None, text
+    for text in ("const a = `x${b + c`;\n", "const a = `x${}`;\n", "const a = `x${b", "`${a b}`;\n", "function (a) { }\n", "class { }\n"):
+        assert parsers.first_error("javascript", text) is not None, text
+    assert parsers.first_error("javascript", "x = " + "`${" * 3000 + "1" + "}`" * 3000) == 0
+
+
+def test_conditionals_are_parsed_by_branches(parsers):
+    good = "#ifdef A\nint f(int a) {\n#else\nint f(void) {\n#endif\n  return 1;\n}\n"
+    assert parsers.first_error("c", good) is None and parsers.first_error("c", "#if A\nint a;\n#elif B\nint b;\n#endif\nint c;\n") is None
+    for wrong in ("int a) {", "void) {"):  # either branch counts
+        assert parsers.first_error("c", good.replace(wrong, wrong.replace(")", ""))) is not None
+
+
+def test_remembered_runs_are_bounded(monkeypatch):
+    monkeypatch.setattr(parsing, "MOST_RUNS", 50)
+    few = sourcefiles.Parsers({"javascript": parsing.read_grammar("javascript")})
+    for n in range(300):
+        assert few.first_error("javascript", "a" + " + b" * n + ";\n") is None
+    assert len(few.ready["javascript"][0].runs) <= 50
+
+
 def test_python_as_its_own_parser_has_it(parsers):
     rng = random.Random(9)
     base = VALID["python"][3] + VALID["python"][7] + VALID["python"][8] + "for a in b:\n    if c:\n        d(e, f=1)\n    else:\n        g[1] = h\n"
