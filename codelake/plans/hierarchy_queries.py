@@ -14,7 +14,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.hierarchy(H.parent_links(table(spark, sf_dir, "relationships"))).drop("is_child")
+    return H.hierarchy(H.parent_links(table(spark, sf_dir, "relationships"))).select("node_id", "root_id", "depth", "path", "n_descendants")
+
+
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of each class whose chain of parents ends, and of the parents that are no children."""
+    forest = H.hierarchy(H.parent_links(table(spark, sf_dir, "relationships"))).where("depth >= 0")
+    return H.descendants(forest)
 
 
 def p3_endless(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +28,7 @@ def p3_endless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_found(spark, sf_dir).where("depth = -1").select("node_id", "root_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_endless": p3_endless}
+QUERIES = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p3_endless": p3_endless}
 
 _B = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 _LINKS = f"""
@@ -42,5 +48,14 @@ links as (
 
 ORACLE = {
     "p3_found": f"with recursive {_LINKS} select node_id, root_id, depth from found",
+    "p3_hierarchy": f"""with recursive {_LINKS}, nodes as (select child as node_id from links union select parent from links),
+      runs as (select node_id, root_id, depth from found union all select node_id, node_id, 0 from nodes where node_id not in (select child from links)),
+      above as (select child as node_id, unnest(seen[2:]) as up from climb where (looped or top not in (select child from links))),
+      n as (select up, count(distinct node_id) filter (node_id <> up) as n from above group by 1),
+      p as (select child as node_id, array_to_string(list_reverse(seen), '/') as path from climb where not looped and top not in (select child from links))
+      select node_id, root_id, depth, case when depth = 0 then node_id when depth > 0 then path end as path, coalesce(n, 0)::bigint as n_descendants
+      from runs left join p using (node_id) left join n on n.up = node_id""",
+    "p3_descendants": f"""with recursive {_LINKS}, ended as (select child, seen from climb where not looped and top not in (select child from links))
+      select unnest(seen[2:]) as node_id, child as descendant_id, unnest(range(1, len(seen)))::int as distance from ended""",
     "p3_endless": f"with recursive {_LINKS} select node_id, root_id from found where depth = -1",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and go on from there.
+    """Write ``df`` as a table into the checkpoint folder that all executors share and go on from there.
 
-    The folder is spark.checkpoint.dir; only a local session without one gets a folder of its own.
+    The folder is spark.checkpoint.dir; only a local session without one gets a folder of its own. A table tells its true
+    size; a checkpoint keeps what was estimated for its rows, which every join of a loop multiplies by itself.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -49,7 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-codelake-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_measuring(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut`` and aggregates over its rows, for the rounds of a loop."""
+    out = cut(df)
+    return out, out.agg(*(column.alias(name) for name, column in measures.items())).first().asDict()
 
 
 def stripped(column: str | Column) -> Column:

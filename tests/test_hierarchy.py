@@ -34,6 +34,13 @@ def shapes():
     return {"loop": {"x": "x", "y": "x", "a": "b", "b": "a"}, "all": forest | chain | star | wild, "none": {}}
 
 
+def test_below_cycles(spark):
+    parent = {"a": "b", "b": "a", "x": "x", "h": "a", "i": "h", "j": "h", "k": "x", "p": "q"}
+    found = {r.node_id: r for r in H.hierarchy(links(spark, parent)).collect()}
+    assert {v: r.n_descendants for v, r in found.items()} == {"a": 4, "b": 4, "x": 1, "h": 2, "i": 0, "j": 0, "k": 0, "p": 0, "q": 1}
+    assert {tuple(r) for r in H.descendants(H.hierarchy(links(spark, parent))).collect()} == {("a", "h", 1), ("a", "i", 2), ("a", "j", 2), ("h", "i", 1), ("h", "j", 1), ("x", "k", 1), ("q", "p", 1)}
+
+
 @pytest.mark.parametrize("shape", shapes())
 def test_equals_brute_force(spark, shape):
     parent = shapes()[shape]
