@@ -17,6 +17,8 @@ from codelake.session import stripped
 _JS = [
     ("class_declaration", r"(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+([\w$]+)"),
     ("function_declaration", r"(?:export\s+(?:default\s+)?)?(?:async\s+)?function\b\s*\*?\s*([\w$]+)"),
+    ("arrow_function", r"(?:export\s+(?:default\s+)?)?(?:(?:const|let|var)\s+)?([\w$.]+)\s*(?::[^=;{}()]+)?=\s*(?:async\s+)?(?:\([^;{}]*\)|[\w$]+)\s*(?::[^=;{}]+)?=>\s*(?=\{)"),
+    ("function", r"(?:export\s+(?:default\s+)?)?(?:(?:const|let|var)\s+)?([\w$.]+)\s*=\s*(?:async\s+)?function\b\s*\*?\s*[\w$]*\s*(?=\()"),
     ("method_definition", r"(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?!(?:if|for|while|switch|catch|with|return|function|else|do|new|await|typeof)\b)([\w$#]+)(?:<[^<>(){}]*>)?\s*\([^;{}]*\)\s*(?::[^;{}]+)?(?=\{)"),
 ]
 _TYPED = r"(?:(?:public|private|protected|internal|static|final|abstract|synchronized|native|virtual|override|sealed|async|partial|default)[ \t]+)*+"
@@ -27,7 +29,7 @@ DEFINITIONS = {
         ("class_declaration", r"(?:(?:abstract|final|readonly)\s+)*class\s+(\w+)"), ("interface_declaration", r"interface\s+(\w+)"), ("trait_declaration", r"trait\s+(\w+)"),
         ("method_declaration", r"(?:(?:public|private|protected|static|final|abstract)\s+)+function\s+&?(\w+)"), ("function_definition", r"function\s+&?(\w+)"),
     ],
-    "go": [("method_declaration", r"func\s*\([^)]*\)\s*(\w+)"), ("function_declaration", r"func\s+(\w+)"), ("type_declaration", r"type\s+(\w+)")],
+    "go": [("method_declaration", r"func\s*\([^)]*\)\s*(\w+)"), ("function_declaration", r"func\s+(\w+)"), ("interface_type", r"type\s+(\w+)\s+interface\b"), ("type_declaration", r"type\s+(\w+)")],
     "rust": [
         ("function_item", r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern)\s+)*fn\s+(\w+)"), ("struct_item", r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"),
         ("enum_item", r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("trait_item", r"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)"), ("impl_item", r"(?:unsafe\s+)?impl\b(?:<[^{};]*?>)?\s*(?:[\w:<>, &']+\s+for\s+)?(\w+)"),
@@ -63,7 +65,6 @@ _NOISE = {
 _NOISE["typescript"] = _NOISE["javascript"]
 _BRACES = re.compile(r"[{}]")
 _MARK = re.compile(r"[{;]")
-_HEADS = {language: re.compile("|".join(f"(?P<d{n}>^[ \t]*{p})" for n, (_, p) in enumerate(own)), re.MULTILINE) for language, own in DEFINITIONS.items()}
 _PYTHON = re.compile(r"^([ \t]*)(async\s+def|def|class|@)\s*(\w+)?", re.MULTILINE)
 CALL = re.compile(r"([A-Za-z_$][\w$]*)\s*\(")
 
@@ -73,9 +74,13 @@ def blanked(text: str, language: str) -> str:
     return _NOISE.get(language, _NOISE[""]).sub(lambda m: "\n".join(" " * len(x) for x in m[0].split("\n")), text)
 
 
-def _braced(code: str, language: str) -> Iterator[tuple[int, int, str, str]]:
+def _heads(definitions: list[tuple[str, str]]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<d{n}>^[ \\t]*{p})" for n, (_, p) in enumerate(definitions)), re.MULTILINE)
+
+
+def _braced(code: str, known: list[tuple[str, str]], heads: re.Pattern) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, type, name) of the definitions in code with braces, ends behind the closing brace or the semicolon."""
-    kinds = [kind for kind, _ in DEFINITIONS[language]]
+    kinds = [kind for kind, _ in known]
     closing: dict[int, int] = {}
     opened: list[int] = []
     for brace in _BRACES.finditer(code):
@@ -83,7 +88,7 @@ def _braced(code: str, language: str) -> Iterator[tuple[int, int, str, str]]:
             opened.append(brace.start())
         elif opened:
             closing[opened.pop()] = brace.end()
-    for head in _HEADS[language].finditer(code):
+    for head in heads.finditer(code):
         number = next(n for n in range(len(kinds)) if head[f"d{n}"] is not None)
         start = head.end() - len(head[0].lstrip())
         mark = _MARK.search(code, head.end())
@@ -117,19 +122,25 @@ def _indented(code: str) -> Iterator[tuple[int, int, str, str]]:
         decorated = None
 
 
-def definitions(text: str, language: str) -> list[tuple[int, int, str, str]]:
-    """All definitions of a text, outer before inner; nothing for other languages."""
+def definitions(text: str, language: str, known: dict[str, list[tuple[str, str]]] | None = None, heads: dict[str, re.Pattern] | None = None) -> list[tuple[int, int, str, str]]:
+    """All definitions of a text, outer before inner; nothing for other languages. ``known`` are those registered, with their patterns."""
+    known = DEFINITIONS if known is None else known
     code = blanked(text, language)
-    found = _indented(code) if language == "python" else _braced(code, language) if language in DEFINITIONS else iter(())
+    if language == "python":
+        found = _indented(code)
+    elif language in known:
+        found = _braced(code, known[language], heads[language] if heads else _heads(known[language]))
+    else:
+        found = iter(())
     return sorted(found, key=lambda d: (d[0], -d[1]))
 
 
-def chunk(text: str, language: str, limit: int) -> list[dict]:
+def chunk(text: str, language: str, limit: int, known: dict[str, list[tuple[str, str]]] | None = None, heads: dict[str, re.Pattern] | None = None) -> list[dict]:
     """Definitions within the limit, not those inside them; a larger one gives way to what is defined within it."""
     out: list[dict] = []
     parents: list[tuple[int, str, str]] = []
     skip = 0
-    for start, end, kind, name in definitions(text, language):
+    for start, end, kind, name in definitions(text, language, known, heads):
         parents = [p for p in parents if p[0] > start]
         if start < skip:
             continue
@@ -154,16 +165,22 @@ def chunk_files(files: DataFrame, limit: int = 2048) -> DataFrame:
     Null texts and languages without definitions give none, and no text raises; a repeated file gives its chunks once.
     """
 
+    known, extensions = dict(DEFINITIONS), dict(REGISTERED)  # what is registered now goes with the tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = {language: _heads(own) for language, own in known.items()}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(n, c) for n, (x, t) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) for c in chunk(t, x, limit)]
+                rows = [(n, c) for n, (x, t) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) for c in chunk(t, x, limit, known, heads)]
                 index = pa.array([n for n, _ in rows], pa.int64())
                 columns = [part.column(i).take(index) for i in range(3)] + [pa.array([c[name] for _, c in rows], kind) for name, kind in CHUNK_FIELDS]
                 yield pa.RecordBatch.from_arrays(columns, names=["repo_name", "file_path", "language", *(name for name, _ in CHUNK_FIELDS)])
 
-    source = files.select("repo_name", "file_path", language_of(F.col("file_path")).alias("language"), "content").where("language is not null and content != ''").distinct()
+    language = language_of(F.col("file_path"))
+    for extension, name in extensions.items():
+        language = F.when(F.lower("file_path").endswith(extension), name).otherwise(language)
+    source = files.select("repo_name", "file_path", language.alias("language"), "content").where("language is not null and content != ''").distinct()
     schema = "repo_name string, file_path string, language string, start_line int, end_line int, start_byte int, end_byte int, chunk_type string, name string, content string, context string"
     made = source.mapInArrow(run, schema)
     return made.select(chunk_id(F.col("file_path"), F.col("start_line"), F.col("content")).alias("id"), "*")
@@ -190,11 +207,26 @@ def search(chunks: DataFrame, repo: str | None = None, language: str | None = No
 
 
 def calls(chunks: DataFrame) -> DataFrame:
-    """(repo_name, id, callee, line): calls in the chunks' texts, names before a bracket that are no keyword and not defined there."""
-    line = F.posexplode(F.split("content", "\n"))
-    lines = chunks.select("repo_name", "id", "name", "start_line", line.alias("n", "text"))
-    names = lines.select("repo_name", "id", "name", (F.col("start_line") + F.col("n")).alias("line"), F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$]*)\s*\("), 1)).alias("callee"))
-    return names.where(~F.col("callee").isin(*sorted(NO_CALLS)) & ((F.col("callee") != F.coalesce("name", F.lit(""))))).select("repo_name", "id", "callee", "line")
+    """(repo_name, id, callee, line): calls in the chunks' code, names before a bracket that are no keyword and not defined there.
+
+    Strings and comments hold no calls; a definition's own head is none. Null texts and lines give no rows or no line.
+    """
+
+    def found(text: str, language: str, name: str | None, first: int) -> list[tuple[str, int]]:
+        code = blanked(text, language)
+        return [(m[1], first + code.count("\n", 0, m.start())) for m in CALL.finditer(code) if m[1] not in NO_CALLS and m[1] != name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [(n, callee, line) for n, (text, x, name, first) in enumerate(zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)) for callee, line in found(text, x, name, first)]
+                index = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["repo_name", "id", "callee", "line"])
+
+    language = F.coalesce(F.lower("language"), F.lit("")).alias("language")
+    rows = chunks.where("content is not null").select("repo_name", "id", "content", language, "name", F.coalesce("start_line", F.lit(1)).cast("int").alias("start_line"))
+    return rows.mapInArrow(run, "repo_name string, id string, callee string, line int")
 
 
 def resolve_calls(made: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -247,14 +279,29 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.withColumn("is_relative", F.col("module").startswith("."))
 
 
-def register(language: str, definitions: list[tuple[str, str]], imports_pattern: str | None = None) -> None:
-    """Adds or replaces what a language's definitions (type and pattern, group 1 the name) and imports look like."""
+#: Languages registered with extensions of their own, by extension with its dot.
+REGISTERED: dict[str, str] = {}
+
+
+def register(language: str, definitions: list[tuple[str, str]], imports_pattern: str | None = None, extensions: tuple[str, ...] = ()) -> None:
+    """Adds or replaces what a language's definitions (type and pattern, group 1 the name), imports and files look like, from the next query on."""
+    _heads(definitions)  # a wrong pattern is told here
     DEFINITIONS[language] = definitions
-    _HEADS[language] = re.compile("|".join(f"(?P<d{n}>^[ \\t]*{p})" for n, (_, p) in enumerate(definitions)), re.MULTILINE)
+    REGISTERED.update({"." + x.lower().lstrip("."): language for x in extensions})
     if imports_pattern is not None:
         IMPORTS[language] = imports_pattern
 
 
+def registered() -> list[str]:
+    """The languages that definitions are known of."""
+    return sorted({*DEFINITIONS, "python"})
+
+
+def extractor(language: str) -> tuple[list[tuple[str, str]], str | None]:
+    """Definitions and import pattern of a language; nothing for an unknown one."""
+    return DEFINITIONS.get(language, []), IMPORTS.get(language)
+
+
 # What may stand behind an imported path for it to be a file.
 SUFFIXES = (".py", "/__init__.py", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", "/index.js", "/index.ts", ".h", ".hpp", "")
 

@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 
 from codelake.functions.vectors import cosine
 
+#: Places of a score that rank it, and that are shown: ranking keeps all but what the order of a sum may change.
+RANKED, SHOWN = 12, 4
 #: Query vectors that travel to the tasks at once; larger query sets take several passes.
 QUERIES_AT_ONCE = 20_000
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 10, where: Column | None = None, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k rows most similar to one vector, best first, with rank and score (4 places); ties by id.
+    """The k rows most similar to one vector, best first, with rank and score (shown to 4 places); ties of the whole score by id.
 
     Filters run before the similarity; null, zero and misfitting vectors are no results.
     """
     rows = vectors if where is None else vectors.where(where)
-    scored = rows.withColumn("__s", cosine(F.col(vector), F.lit([float(x) for x in query]))).where("__s is not null").withColumn("score", F.round("__s", 4))
-    best = scored.orderBy(F.desc("score"), F.asc(id_column)).limit(k)
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), F.asc(id_column)))  # k rows
-    return best.withColumn("rank", rank).drop("__s", vector)
+    scored = rows.withColumn("__s", cosine(F.col(vector), F.lit([float(x) for x in query]))).where("__s is not null").withColumn("__s", F.round("__s", RANKED))
+    best = scored.orderBy(F.desc("__s"), F.asc(id_column)).limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("__s"), F.asc(id_column)))  # k rows
+    return best.withColumn("rank", rank).withColumn("score", F.round("__s", SHOWN)).drop("__s", vector)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -57,7 +59,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "v
                 size = np.linalg.norm(block, axis=1)
                 own, block = own[size > 0], block[size > 0] / size[size > 0, None]
                 for at in range(0, len(unit), 256):
-                    scores = np.round(unit[at : at + 256] @ block.T, 4)
+                    scores = np.round(unit[at : at + 256] @ block.T, RANKED)
                     scores[query_ids[at : at + 256, None] == own[None, :]] = -2
                     order = np.lexsort((np.broadcast_to(own, scores.shape), -scores))[:, :k]
                     q = np.repeat(query_ids[at : at + 256], order.shape[1])
@@ -70,7 +72,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "v
     if found is None:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", SHOWN))
 
 
 def collection_stats(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
