@@ -67,11 +67,11 @@ def orphan_references(references: DataFrame, existing: DataFrame, period: str =
     """The distinct (table_name, row_id, t) of references whose key does not exist at the reference's time.
 
     A start at the reference's instant counts as there, an end at that instant as gone. A reference without a time finds
-    nothing. Repeated rows give one row. Keys are split by ``period``: the count carried into a period comes from
+    nothing and enters no window. Repeated rows give one row. Keys are split by ``period``: the count carried into a period comes from
     per-period sums, so a hot key's rows spread over as many tasks as it has periods.
     """
     deltas = existence_deltas(existing).withColumn("period", F.date_trunc(period, "t"))
-    timed = references.withColumn("period", F.date_trunc(period, "t"))
+    timed = references.where("t is not null").withColumn("period", F.date_trunc(period, "t"))
     key = ["kind", "key"]
     # per key and period: net change, and whether a reference needs the count carried in
     sums = (
@@ -89,9 +89,9 @@ def orphan_references(references: DataFrame, existing: DataFrame, period: str =
         .unionByName(timed.select(*key, "period", "t", F.lit(2).alias("step"), F.lit(0).cast("bigint").alias("delta"), "table_name", "row_id"))
     )
     so_far = Window.partitionBy(*key, "period").orderBy(F.col("t").asc_nulls_first(), "step").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        timeline.withColumn("alive", F.sum("delta").over(so_far)).where("step = 2 and (alive <= 0 or t is null)").groupBy("table_name", "row_id").agg(F.min("t").alias("t"))
-    )
+    missed = timeline.withColumn("alive", F.sum("delta").over(so_far)).where("step = 2 and alive <= 0").select("table_name", "row_id", "t")
+    timeless = references.where("t is null").select("table_name", "row_id", "t")
+    return missed.unionByName(timeless).groupBy("table_name", "row_id").agg(F.min("t").alias("t"))
 
 
 def orphan_report(orphans: DataFrame, references: DataFrame) -> DataFrame:
