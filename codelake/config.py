@@ -1,4 +1,4 @@
-"""Settings of an index, with the defaults of the tool this engine replaces."""
+"""Settings of an index and their defaults."""
 
 from __future__ import annotations
 
