@@ -263,8 +263,8 @@ def extreme_pages(pages: DataFrame, models: dict[str, Language], key: str = "doc
     A page is extreme if it is no record and its divergence is, and so is the repeated part of that: by itself, or
     less so together with the curve. Pages that no prose is comparable to are not extreme. Repeated keys count once.
     """
-    pages = pages.dropDuplicates([key])
-    measured = cut(page_measures(pages, models, key).join(rank_frequency(pages, key), key))  # read for the fences and against them
+    curves = rank_frequency(pages.select(key, "spectrum").dropDuplicates([key]), key)
+    measured = cut(page_measures(pages, models, key).dropDuplicates([key]).join(curves, key))  # read for the fences and against them
     own, pooled = prose_fences(measured)
     found = measured.join(F.broadcast(own), ["language", "length"], "left").join(F.broadcast(pooled), "length", "left")  # two-letter languages by powers of 2: under 30,000 rows
     found = found.withColumn("fences", F.coalesce("by_language", "by_length")).drop("by_language", "by_length")
